@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from postulant.catalogue.standins import ANSWERS, HEADERS, MESSAGES, messages, table
 from postulant.catalogue.texts import email_of, phone_of, redacted
 from postulant.functions.answers import normalise_answers
-from postulant.functions.attachments import file_extension, join_pages, join_parts, resume, resume_text
-from postulant.functions.text import job_from_filename, location_from_body, name_from_filename, title_from_body
+from postulant.functions.attachments import (
+    file_extension,
+    first_attachment,
+    join_pages,
+    join_parts,
+    resume_text,
+    resume_type,
+)
+from postulant.functions.text import header_lines, job_from_filename, location_in, name_from_filename, title_in
 from postulant.operators.extraction import ask_model
 from postulant.operators.upsert import insert_if_absent
 from postulant.plans.ingest import candidates, prompts
@@ -46,28 +53,28 @@ def filenames(spark: SparkSession, folder: str) -> DataFrame:
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     """Header lines of mail bodies, read from conversations."""
-    turns = table(spark, folder, "conversations")
     body = F.regexp_replace("text", r"\.\s*", " .\t\r\n ")
-    return turns.select(
-        "conv_id", "turn", title_from_body(body).alias("title"), location_from_body(body).alias("location")
-    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", header_lines(body).alias("lines"))
+    return turns.select("conv_id", "turn", title_in("lines").alias("title"), location_in("lines").alias("location"))
 
 
 def attachments(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = messages(spark, folder).select("id", "attachments", resume("attachments").alias("resume"))
+    chosen = first_attachment(messages(spark, folder)).withColumn("kind", resume_type("file_name"))
+    is_resume = F.col("kind").isNotNull()
     return chosen.select(
-        "id", file_extension(F.get("attachments", F.lit(0))["name"]).alias("extension"),
-        F.col("resume.name").alias("resume"), F.octet_length("resume.content").alias("resume_bytes"),
+        "id", file_extension("file_name").alias("extension"),
+        F.when(is_resume, F.col("file_name")).alias("resume"),
+        F.when(is_resume, F.octet_length("file_content")).alias("resume_bytes"),
     )
 
 
 def file_texts(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = messages(spark, folder).select("id", resume("attachments").alias("resume"))
+    chosen = first_attachment(messages(spark, folder)).withColumn("kind", resume_type("file_name"))
     return chosen.select(
         "id",
-        join_pages("resume.pages", fallback=True).alias("pages"),
-        F.when(F.col("resume").isNotNull(), join_parts("resume.tables", "resume.paragraphs")).alias("parts"),
-        resume_text("resume").alias("text"),
+        F.when(F.col("kind") == ".pdf", join_pages("file_pages", fallback=True)).alias("pages"),
+        F.when(F.col("kind").isNotNull(), join_parts("file_tables", "file_paragraphs")).alias("parts"),
+        resume_text("kind", "file_pages", "file_tables", "file_paragraphs").alias("text"),
     )
 
 

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from postulant.catalogue.standins import ANSWERS, DOCUMENTS, RESPONSE, documents
 from postulant.catalogue.standins import responses as with_responses
-from postulant.functions.answers import answer_field, normalise_answers, parse_answer, to_number
+from postulant.functions.answers import answer_field, normalise_answers, parse_answers, to_number
 
 
 def parsing(spark: SparkSession, folder: str) -> DataFrame:
     """Which answers are objects, and what one of their fields reads."""
-    parsed = with_responses(documents(spark, folder)).select("id", parse_answer("response").alias("answer"))
-    return parsed.select(
+    return parse_answers(with_responses(documents(spark, folder))).select(
         "id",
         F.col("answer").isNotNull().alias("is_object"),
         answer_field("answer", "Entreprises", "N/A").alias("companies"),

@@ -11,18 +11,23 @@ from postulant.schema import ANSWER_FIELDS
 _END = "\u0000end"
 
 
-def parse_answer(response: Column | str) -> Column:
-    r"""The answer as a map of texts; null if it is not exactly one JSON object.
+def read_json(response: Column | str) -> Column:
+    r"""The answer as the head of an array whose tail is known.
 
     `\&`, which models like to write, is not valid JSON and is unescaped first.
-    `from_json` stops after the first value. Reading the answer as the head of a
-    two-element array, with a known tail, also rejects trailing garbage.
+    `from_json` stops after the first value and ignores what follows; inside an
+    array, trailing garbage fails.
     """
     text = F.replace(as_column(response), F.lit(r"\&"), F.lit("&"))
     closed = F.concat(F.lit("["), text, F.lit(r',{"\u0000end":"1"}]'))
-    parsed = F.from_json(closed, "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    complete = (F.size(parsed) == 2) & F.map_contains_key(F.get(parsed, F.lit(1)), _END)
-    return F.when(complete, F.get(parsed, F.lit(0)))
+    return F.from_json(closed, "array<map<string,string>>", {"allowSingleQuotes": "false"})
+
+
+def only_object(parsed: Column | str) -> Column:
+    """The answer in the array of `read_json` if it is exactly one object, else null."""
+    array = as_column(parsed)
+    complete = (F.size(array) == 2) & F.map_contains_key(F.get(array, F.lit(1)), _END)
+    return F.when(complete, F.get(array, F.lit(0)))
 
 
 def answer_field(answer: Column | str, key: str, default: str) -> Column:
@@ -42,14 +47,19 @@ def to_number(text: Column | str) -> Column:
     return F.when(numeric, plain.try_cast("double"))
 
 
+def parse_answers(df: DataFrame, response: str = "response", answer: str = "answer") -> DataFrame:
+    """Add the parsed answer, null if it failed. Its own projection parses every row once."""
+    parsed = df.withColumn(answer, read_json(response))
+    return parsed.withColumn(answer, only_object(answer))
+
+
 def normalise_answers(df: DataFrame, response: str = "response") -> DataFrame:
     """Replace the response column by the five typed answer columns.
 
-    A failed response behaves like an empty object, so every field gets its
-    default. The parsed map sits in its own projection and is built once per row.
+    A failed response behaves like an empty object, so every field gets its default.
     """
     empty = F.create_map().cast("map<string,string>")
-    parsed = df.withColumn("_answer", F.coalesce(parse_answer(response), empty))
+    parsed = parse_answers(df, response, "_answer").withColumn("_answer", F.coalesce("_answer", empty))
     fields = {
         column: answer_field("_answer", key, default)
         for key, (column, default) in ANSWER_FIELDS.items()

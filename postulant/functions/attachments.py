@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postulant.functions import as_column
 from postulant.functions.text import clean_docx_text, clean_pdf_text
-from postulant.schema import RESUME_EXTENSIONS
+from postulant.schema import ATTACHMENT, RESUME_EXTENSIONS
 
 
 def file_extension(name: Column | str) -> Column:
@@ -15,10 +15,20 @@ def file_extension(name: Column | str) -> Column:
     return F.regexp_extract(as_column(name), r"[^./][^/]*(\.[^./]*)\z", 1)
 
 
-def resume(attachments: Column | str) -> Column:
-    """The first attachment if it is a resume file, else null. No other is tried."""
-    first = F.get(as_column(attachments), F.lit(0))
-    return F.when(file_extension(first["name"]).isin(*RESUME_EXTENSIONS), first)
+def first_attachment(df: DataFrame, attachments: str = "attachments") -> DataFrame:
+    """Replace the attachments by the fields of the first one: `file_name`, `file_pages` and so on.
+
+    No other attachment is ever tried. As the lowest projection this lets the scan
+    read only those fields that are used later, above all not the file bytes.
+    """
+    fields = {f"file_{f.name}": F.get(F.col(attachments).getField(f.name), F.lit(0)) for f in ATTACHMENT.fields}
+    return df.withColumns(fields).drop(attachments)
+
+
+def resume_type(name: Column | str) -> Column:
+    """Extension of a resume file, null for any other file."""
+    extension = file_extension(name)
+    return F.when(extension.isin(*RESUME_EXTENSIONS), extension)
 
 
 def join_pages(pages: Column | str, fallback: bool = False) -> Column:
@@ -34,11 +44,12 @@ def join_parts(tables: Column | str, paragraphs: Column | str) -> Column:
     return F.array_join(parts, "\n")
 
 
-def resume_text(attachment: Column | str, fallback: bool = False) -> Column:
-    """The cleaned text of a resume; null if there is no resume."""
-    file = as_column(attachment)
-    extension = file_extension(file["name"])
-    pages = F.coalesce(join_pages(file["pages"], fallback), F.lit(""))
-    return F.when(extension == ".pdf", clean_pdf_text(pages)).when(
-        extension == ".docx", clean_docx_text(join_parts(file["tables"], file["paragraphs"]))
+def resume_text(
+    kind: Column | str, pages: Column | str, tables: Column | str, paragraphs: Column | str, fallback: bool = False
+) -> Column:
+    """The cleaned text of a resume of the given type; null if there is none."""
+    extension = as_column(kind)
+    from_pages = F.coalesce(join_pages(pages, fallback), F.lit(""))
+    return F.when(extension == ".pdf", clean_pdf_text(from_pages)).when(
+        extension == ".docx", clean_docx_text(join_parts(tables, paragraphs))
     )

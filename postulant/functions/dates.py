@@ -49,10 +49,14 @@ def within_days(df: DataFrame, column: str, days: tuple[date, ...], through_midn
     """Range predicate, or None while a date is missing.
 
     The bounds get the column's own type, so that the scan can use them: with a
-    bound of the other timestamp type Spark would cast the column instead.
+    bound of the other timestamp type Spark would cast the column instead. On a
+    table partitioned by month only the folders of the range are read.
     """
     if len(days) != 2:
         return None
     kind = df.schema[column].dataType
-    lower, upper = (F.lit(str(bound)).cast(kind) for bound in day_bounds(*days, through_midnight))
-    return F.col(column).between(lower, upper)
+    first, last = day_bounds(*days, through_midnight)
+    inside = F.col(column).between(F.lit(str(first)).cast(kind), F.lit(str(last)).cast(kind))
+    if "applied_month" in df.columns:
+        inside &= F.col("applied_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}")
+    return inside

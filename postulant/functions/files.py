@@ -27,7 +27,7 @@ def data_link(content: Column | str) -> Column:
     """The file as a data URI, or a cross mark if there is none."""
     data = as_column(content)
     # base64 may wrap its lines; a URI must not.
-    encoded = F.translate(F.base64(data), "\r\n", "")
+    encoded = F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
     uri = F.concat(F.lit("data:"), mime_type(file_type(data)), F.lit(";base64,"), encoded)
     return F.coalesce(uri, F.lit(NO_FILE_MARK))
 

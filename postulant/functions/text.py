@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postulant.functions import as_column
 from postulant.functions.patterns import HEADER_BREAK, JOB_IN_FILENAME, SPACE
-from postulant.schema import SENIOR_UNTIL, NOT_AVAILABLE, UNKNOWN, YES
+from postulant.schema import NOT_AVAILABLE, SENIOR_UNTIL, UNKNOWN, YES
 
 DEFAULT_PROMPT = """Tu es chargé(e) du recrutement dans une équipe data. Lis le CV ci-dessous et réponds
 uniquement par un objet JSON avec ces cinq clés, toutes de type texte :
@@ -20,7 +20,6 @@ uniquement par un objet JSON avec ces cinq clés, toutes de type texte :
 CV : {text}
 """
 
-
 # Every white space character: NEL, no-break and typographic spaces included.
 WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
@@ -35,14 +34,21 @@ def squeeze(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_column(text), f"{SPACE}+", " "))
 
 
+def _swap(text: Column, changes: dict[str, str]) -> Column:
+    """Replace single characters. A few `replace` calls are far cheaper than one `translate`."""
+    for old, new in changes.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def clean_pdf_text(text: Column | str) -> Column:
     """Drop NUL characters, turn line feeds into blanks, strip."""
-    return strip(F.translate(as_column(text), "\n\0", " "))
+    return strip(_swap(as_column(text), {"\0": "", "\n": " "}))
 
 
 def clean_docx_text(text: Column | str) -> Column:
     """Turn no-break spaces, line feeds and tabs into blanks, strip."""
-    return strip(F.translate(as_column(text), "\u00a0\n\t", "   "))
+    return strip(_swap(as_column(text), {"\u00a0": " ", "\n": " ", "\t": " "}))
 
 
 def job_from_filename(filename: Column | str) -> Column:
@@ -63,18 +69,23 @@ def maskable_names(name: Column | str) -> Column:
     return F.filter(F.split(as_column(name), " "), lambda word: F.length(word) > 2)
 
 
-def header_field(body: Column | str, position: int) -> Column:
-    """One of the lines that open a mail body, if the body has more than four."""
-    parts = F.split(as_column(body), HEADER_BREAK, -1)
-    return F.when(F.size(parts) > 4, strip(F.get(parts, F.lit(position)))).otherwise(NOT_AVAILABLE)
+def header_lines(body: Column | str) -> Column:
+    """The opening lines of a mail body. Splitting stops once five lines are complete."""
+    return F.split(as_column(body), HEADER_BREAK, 6)
+
+
+def header_field(lines: Column | str, position: int) -> Column:
+    """One of the opening lines, if the body has more than four."""
+    array = as_column(lines)
+    return F.when(F.size(array) > 4, strip(F.get(array, F.lit(position)))).otherwise(NOT_AVAILABLE)
 
 
-def title_from_body(body: Column | str) -> Column:
-    return header_field(body, 3)
+def title_in(lines: Column | str) -> Column:
+    return header_field(lines, 3)
 
 
-def location_from_body(body: Column | str) -> Column:
-    return header_field(body, 4)
+def location_in(lines: Column | str) -> Column:
+    return header_field(lines, 4)
 
 
 def mentions_freelance(title: Column | str) -> Column:

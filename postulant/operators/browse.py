@@ -70,17 +70,8 @@ def predicates(df: DataFrame, spec: BrowseSpec) -> dict[str, Column]:
 
 
 def filtered(df: DataFrame, spec: BrowseSpec) -> DataFrame:
-    """All rows a spec selects.
-
-    On a table partitioned by month a date range also names the months, which
-    leaves only their folders to read.
-    """
-    kept = df.where(reduce(and_, predicates(df, spec).values()))
-    if "applied_month" in df.columns and len(spec.days) == 2:
-        # The range is closed at the midnight after its last day.
-        first, after_last = spec.days[0], date.fromordinal(spec.days[1].toordinal() + 1)
-        kept = kept.where(F.col("applied_month").between(f"{first:%Y-%m}", f"{after_last:%Y-%m}"))
-    return kept
+    """All rows a spec selects."""
+    return df.where(reduce(and_, predicates(df, spec).values()))
 
 
 def _sort_key(df: DataFrame, column: str) -> Column:

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postulant.functions.answers import normalise_answers
-from postulant.functions.attachments import resume, resume_text
+from postulant.functions.attachments import first_attachment, resume_text, resume_type
 from postulant.functions.contacts import first_email, first_phone, redact
 from postulant.functions.text import (
     fill_prompt,
     freelance_flag,
+    header_lines,
     job_from_filename,
-    location_from_body,
+    location_in,
     maskable_names,
     name_from_filename,
-    title_from_body,
+    title_in,
 )
 from postulant.schema import CANDIDATES, DEFAULT_STATUS, NO_EXPERIENCE, NOT_AVAILABLE
 
@@ -23,19 +24,23 @@ from postulant.schema import CANDIDATES, DEFAULT_STATUS, NO_EXPERIENCE, NOT_AVAI
 def with_headers(messages: DataFrame, fallback: bool = False) -> DataFrame:
     """Add what the file name, the mail head and the resume tell.
 
-    `text` is null without a readable attachment type and empty without text.
+    `text` is null without a readable attachment type and empty without text. The
+    bytes of the files are only read if `cv` is used later.
     """
-    return messages.withColumns({
+    staged = first_attachment(messages).withColumns({
+        "_lines": header_lines("body"),
+        "_kind": resume_type("file_name"),
+    })
+    read = {
         "applied_at": F.col("sent_at"),
         "job": job_from_filename("filename"),
         "name": name_from_filename("filename"),
-        "title": title_from_body("body"),
-        "location": location_from_body("body"),
-        "_resume": resume("attachments"),
-    }).withColumns({
-        "text": resume_text("_resume", fallback),
-        "cv": F.col("_resume.content"),
-    }).drop("_resume", "attachments", "body", "sent_at")
+        "title": title_in("_lines"),
+        "location": location_in("_lines"),
+        "text": resume_text("_kind", "file_pages", "file_tables", "file_paragraphs", fallback),
+        "cv": F.when(F.col("_kind").isNotNull(), F.col("file_content")),
+    }
+    return staged.withColumns(read).select("filename", "response", *read)
 
 
 def prompts(messages: DataFrame, fallback: bool = False) -> DataFrame:

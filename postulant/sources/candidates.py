@@ -11,15 +11,23 @@ repeated load replace its own rows and nothing else.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postulant.functions.dates import calendar_part
-from postulant.operators.upsert import changed_rows, delete_by_id, insert_if_absent, last_edits, update_by_id
+from postulant.operators.upsert import (
+    broadcast_if_small,
+    changed_rows,
+    delete_by_id,
+    insert_if_absent,
+    last_edits,
+    update_by_id,
+)
 from postulant.schema import CANDIDATE_CV, CANDIDATE_PARTITIONS, CANDIDATES, CV_PARTITIONS, UNKNOWN_MONTH
 
 
@@ -31,21 +39,23 @@ class PartitionedTable:
     schema: T.StructType
     partitions: tuple[str, ...]
 
+    def _stored(self) -> T.StructType:
+        return T.StructType(self.schema.fields + [T.StructField(p, T.StringType()) for p in self.partitions])
+
     def create(self) -> None:
-        columns = T.StructType(self.schema.fields + [T.StructField(p, T.StringType()) for p in self.partitions])
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} ({columns.toDDL()}) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({self._stored().toDDL()}) USING parquet "
             f"PARTITIONED BY ({', '.join(self.partitions)}) LOCATION '{self.root}/{self.name}'"
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def _label(self):
+    def _label(self) -> Column:
         return F.concat_ws("/", *self.partitions)
 
     def labels(self, rows: DataFrame) -> list[str]:
-        """The partitions rows lie in. Their number is that of folders, which the driver lists anyway."""
+        """The partitions rows lie in. There are as many as folders, which the driver lists anyway."""
         return [row[0] for row in rows.select(self._label()).distinct().collect()]
 
     def content(self, labels: list[str]) -> DataFrame:
@@ -54,18 +64,23 @@ class PartitionedTable:
 
     def replace(self, rows: DataFrame, labels: list[str]) -> None:
         """Let `rows` be the content of the given partitions and of those they lie in."""
-        fields = [f.name for f in self.schema.fields]
         folder = f"{self.root}/{self.name}-{uuid.uuid4().hex}"
-        # One task per partition value and hash of the rest would still be skewed by a
-        # large load, so rows keep their distribution; AQE joins the small tasks.
-        rows.select(*fields, *self.partitions).write.partitionBy(*self.partitions).parquet(folder)
-        types = T.StructType(self.schema.fields + [T.StructField(p, T.StringType()) for p in self.partitions])
-        filled = set(self.labels(self.spark.read.schema(types).parquet(folder)))
+        kept = rows.select(*[f.name for f in self.schema.fields], *self.partitions)
+        if len(self.partitions) > 1:
+            # Few files per folder: rows of a folder meet, and AQE splits what grows too large.
+            kept = kept.hint("rebalance", *[F.col(p) for p in self.partitions])
+        (
+            kept.write.partitionBy(*self.partitions)
+            .option("parquet.bloom.filter.enabled#id", "true")  # look-ups skip files without the id
+            .option("parquet.bloom.filter.expected.ndv#id", "1000000")
+            .parquet(folder)
+        )
+        filled = set(self.labels(self.spark.read.schema(self._stored()).parquet(folder)))
         for label in sorted(filled | set(labels)):
-            values = label.split("/")
-            spec = ", ".join(f"{p}='{v}'" for p, v in zip(self.partitions, values))
+            values = dict(zip(self.partitions, label.split("/")))
+            spec = ", ".join(f"{column}='{value}'" for column, value in values.items())
             if label in filled:
-                place = "/".join([folder, *[f"{p}={v}" for p, v in zip(self.partitions, values)]])
+                place = "/".join([folder, *[f"{column}={value}" for column, value in values.items()]])
                 self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{place}'")
                 self.spark.sql(f"ALTER TABLE {self.name} PARTITION ({spec}) SET LOCATION '{place}'")
             else:
@@ -95,34 +110,37 @@ class CandidateStore:
         Keys count as known if another load holds them. A repeated load therefore
         never finds its own first attempt, and replaces that attempt.
         """
-        others = self.read().where(F.col("load_id") != load_id)
-        new = insert_if_absent(batch if store_cv else batch.drop("cv"), others)
-        named = _placed(new.withColumns({"id": F.expr("uuid()"), "load_id": F.lit(load_id)}))
+        if not re.fullmatch(r"[\w.-]+", load_id):
+            raise ValueError(f"a load id names a folder, so {load_id!r} will not do")
+        named = batch.withColumns({"id": F.expr("uuid()"), "load_id": F.lit(load_id)})
         if store_cv:
-            # Both tables need the same ids, so the rows are written once and read back.
+            # Writing the batch once fixes the ids, and keeps the files out of the sort and
+            # shuffle that find the new rows.
             staged = f"{self.root}/staged-{uuid.uuid4().hex}"
             named.write.parquet(staged)
             named = self.spark.read.schema(named.schema).parquet(staged)
-            self.files.replace(named.where(F.col("cv").isNotNull()), [load_id])
-        before = self.people.labels(self.read().where(F.col("load_id") == load_id))
-        self.people.replace(named, before)
+        own = F.col("load_id") == load_id
+        new = insert_if_absent(named.drop("cv"), self.read().where(~own))
+        self.people.replace(_placed(new), self.people.labels(self.read().where(own)))
+        if store_cv:
+            inserted = broadcast_if_small(self.read().where(own).select("id"))
+            files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
+            self.files.replace(files, [load_id])
 
     def delete(self, ids: DataFrame) -> None:
         """Remove candidates and their files, rewriting only the partitions they lie in."""
-        hit = self.people.labels(self.read().join(ids.select("id"), "id", "left_semi"))
-        if not hit:
-            return
+        doomed = broadcast_if_small(ids.select("id"))
+        hit = self.people.labels(self.read().join(doomed, "id", "left_semi"))
         loads = sorted({label.split("/")[1] for label in hit})
-        self.files.replace(delete_by_id(self.files.content(loads), ids), loads)
-        self.people.replace(delete_by_id(self.people.content(hit), ids), hit)
+        if hit:
+            self.files.replace(delete_by_id(self.files.content(loads), ids), loads)
+            self.people.replace(delete_by_id(self.people.content(hit), ids), hit)
 
     def update(self, edits: DataFrame, order: str | None = None) -> None:
         """Overwrite the supplied columns of the candidates that really change."""
-        edits = last_edits(edits, order=order)
-        changed = changed_rows(self.read(), edits)
-        moved = _placed(changed)
-        old = self.read().join(changed.select("id"), "id", "left_semi")
-        hit = sorted({*self.people.labels(old), *self.people.labels(moved)})
+        edits = last_edits(edits.drop(*CANDIDATE_PARTITIONS), order=order)
+        changed = changed_rows(self.read(), edits)  # these still carry their old partition
+        hit = sorted({*self.people.labels(changed), *self.people.labels(_placed(changed))})
         if hit:
             self.people.replace(_placed(update_by_id(self.people.content(hit), edits)), hit)
 
