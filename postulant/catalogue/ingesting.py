@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,14 +92,13 @@ def new_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(insert_if_absent(rows.where(recent), rows.where(~recent)), "filename")
 
 
-def stub_client():
-    """Stands in for a model: reports the length of the prompt."""
-    return lambda asked: asked.map(lambda text: json.dumps({"Expérience": len(text), "Compétences": "Spark"}))
+def extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """A stand-in for the model reports the length of each prompt."""
 
+    def client():
+        return lambda asked: asked.map(lambda text: json.dumps({"Expérience": len(text), "Compétences": "Spark"}))
 
-def extraction(spark: SparkSession, folder: str) -> DataFrame:
-    asked = ask_model(model_prompts(spark, folder), stub_client)
-    return normalise_answers(asked).drop("prompt")
+    return normalise_answers(ask_model(model_prompts(spark, folder), client)).drop("prompt")
 
 
 def streamed(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,27 +24,33 @@ def ask_model(
     prompts to a series of JSON texts. Only the prompt column travels to Python.
     With `keep_errors` a prompt that fails gets no answer, and so later the default
     fields; the others of its batch keep theirs. Write the result before using it
-    further: each new action would ask the model again.
+    further: each new action would ask the model again. Long prompts ask for a lower
+    `spark.sql.execution.arrow.maxRecordsPerBatch`.
     """
 
     def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ask = make_client()
+
+        def ask_each(prompts: pd.Series) -> list[str | None]:
+            found = []
+            for text in prompts:
+                try:
+                    found.append(pd.Series(ask(pd.Series([text]))).iloc[0])
+                except Exception:
+                    found.append(None)
+            return found
+
         for prompts in batches:
             sent = prompts[prompts.notna()]
-            try:
-                known = pd.Series(ask(sent), index=sent.index, dtype=object) if len(sent) else sent
-            except Exception:
-                if not keep_errors:
-                    raise
-                known = pd.Series([_ask_one(ask, text) for text in sent], index=sent.index, dtype=object)
-            yield known.reindex(prompts.index).astype(object).where(lambda s: s.notna(), None)
+            known = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+            if len(sent):
+                try:
+                    known[sent.index] = list(ask(sent))
+                except Exception:
+                    if not keep_errors:
+                        raise
+                    known[sent.index] = ask_each(sent)
+            yield known
 
     asked = F.pandas_udf(answers, "string").asNondeterministic()
     return df.withColumn(response, asked(F.col(prompt)))
-
-
-def _ask_one(ask: Ask, text: str) -> str | None:
-    try:
-        return pd.Series(ask(pd.Series([text]))).iloc[0]
-    except Exception:
-        return None
