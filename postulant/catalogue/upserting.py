@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from postulant.catalogue.standins import ORDERS, orders
 from postulant.functions.status import status_code
 from postulant.operators import upsert as up
+from postulant.schema import CANDIDATES
+from postulant.session import work_folder
+from postulant.sources.candidates import CandidateStore
 
 COLUMNS = ("id", "job", "name", "status", "years_exp")
 
@@ -48,7 +51,26 @@ def delete(spark: SparkSession, folder: str) -> DataFrame:
     return up.delete_by_id(rows, doomed).select(*COLUMNS)
 
 
-QUERIES = {"mut_insert": insert, "mut_update": update, "mut_changes": changes, "mut_delete": delete}
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same steps on the stored table: two loads, an update that moves rows, a delete."""
+    place = work_folder(spark, "orders")
+    store = CandidateStore(spark, place, "orders_" + place.rsplit("-", 1)[1])
+    rows = orders(spark, folder).withColumn("filename", F.lpad(F.col("id").cast("string"), 12, "0"))
+    missing = [f for f in CANDIDATES.fields if f.name not in rows.columns]
+    rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing} | {"cv": F.lit(None).cast("binary")})
+    rows = rows.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in CANDIDATES.fields})
+    recent = F.col("applied_at") >= "1997-01-01"
+    store.insert(rows.where(~recent), "early")
+    store.insert(rows.where(recent), "late")
+    late = F.when(F.col("job") == "2-HIGH", F.col("applied_at") + F.expr("INTERVAL 1 MONTH")).otherwise(F.col("applied_at"))
+    edited = store.read().where(F.col("job").isin("1-URGENT", "2-HIGH"))
+    store.update(edited.select("id", F.lit(3).alias("status"), late.cast("string").alias("applied_at")))
+    store.delete(store.read().where(F.col("years_exp") > 45).select("id"))
+    day = F.date_format("applied_at", "yyyy-MM-dd").alias("applied_at")
+    return store.read().select("job", "name", "status", "years_exp", day, "applied_month", "load_id")
+
+
+QUERIES = {"mut_table": stored, "mut_insert": insert, "mut_update": update, "mut_changes": changes, "mut_delete": delete}
 
 _EDITS = f"""{ORDERS},
 edits AS (
@@ -58,6 +80,16 @@ edits AS (
   FROM applications WHERE job IN ('1-URGENT', '2-HIGH'))"""
 
 SQL = {
+    "mut_table": f"""WITH {ORDERS},
+loads AS (SELECT *, CASE WHEN applied_at < TIMESTAMP '1997-01-01 00:00:00' THEN 'early' ELSE 'late' END AS load_id
+          FROM applications),
+placed AS (SELECT *, row_number() OVER (PARTITION BY load_id, job, name ORDER BY applied_at, id) AS place FROM loads),
+kept AS (SELECT * FROM placed p WHERE name = '' OR job = '' OR (place = 1 AND (load_id = 'early' OR NOT EXISTS (
+  SELECT 1 FROM loads e WHERE e.load_id = 'early' AND e.job = p.job AND e.name = p.name)))),
+moved AS (SELECT * REPLACE (CASE WHEN job IN ('1-URGENT', '2-HIGH') THEN 3 ELSE status END AS status,
+  CASE WHEN job = '2-HIGH' THEN applied_at + INTERVAL 1 MONTH ELSE applied_at END AS applied_at) FROM kept)
+SELECT job, name, status, years_exp, strftime(applied_at, '%Y-%m-%d') AS applied_at,
+       strftime(applied_at, '%Y-%m') AS applied_month, load_id FROM moved WHERE years_exp <= 45""",
     "mut_insert": f"""WITH {ORDERS},
 batch AS (SELECT *, row_number() OVER (PARTITION BY job, name ORDER BY applied_at, id) AS place
           FROM applications WHERE applied_at >= TIMESTAMP '1997-01-01 00:00:00'),

@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 UNKNOWN_MONTH = "unknown"
 CANDIDATE_PARTITIONS = ("applied_month", "load_id")
-CV_PARTITIONS = ("load_id",)
+CV_PARTITIONS = ("load_id", "id_prefix")
 # The pair that decides whether an application is already in the table.
 NATURAL_KEY = ("job", "name")
 

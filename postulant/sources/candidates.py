@@ -4,9 +4,11 @@ Parquet has no row-level writes. A change writes the new content of the touched
 partitions to a new folder and then points those partitions there. Nothing that
 is being read is overwritten, untouched partitions are not rewritten, and a job
 that fails before the switch leaves the table as it was. One writer at a time.
+The folders of replaced partitions stay until the storage's own clean-up.
 
 `applied_month` lets date ranges read only their months; `load_id` lets a
-repeated load replace its own rows and nothing else.
+repeated load replace its own rows and nothing else; `id_prefix` keeps a look-up
+or delete from touching all files of a load.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postulant.functions.dates import calendar_part
+from postulant.operators.browse import lookup
 from postulant.operators.upsert import (
     broadcast_if_small,
     changed_rows,
@@ -66,25 +69,37 @@ class PartitionedTable:
         """Let `rows` be the content of the given partitions and of those they lie in."""
         folder = f"{self.root}/{self.name}-{uuid.uuid4().hex}"
         kept = rows.select(*[f.name for f in self.schema.fields], *self.partitions)
-        if len(self.partitions) > 1:
-            # Few files per folder: rows of a folder meet, and AQE splits what grows too large.
-            kept = kept.hint("rebalance", *[F.col(p) for p in self.partitions])
+        # Few files per folder: rows of a folder meet, and AQE splits what grows too large.
+        balanced = kept.hint("rebalance", *[F.col(p) for p in self.partitions])
         (
-            kept.write.partitionBy(*self.partitions)
+            balanced.write.partitionBy(*self.partitions)
             .option("parquet.bloom.filter.enabled#id", "true")  # look-ups skip files without the id
-            .option("parquet.bloom.filter.expected.ndv#id", "1000000")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .parquet(folder)
         )
         filled = set(self.labels(self.spark.read.schema(self._stored()).parquet(folder)))
-        for label in sorted(filled | set(labels)):
-            values = dict(zip(self.partitions, label.split("/")))
-            spec = ", ".join(f"{column}='{value}'" for column, value in values.items())
-            if label in filled:
-                place = "/".join([folder, *[f"{column}={value}" for column, value in values.items()]])
-                self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{place}'")
-                self.spark.sql(f"ALTER TABLE {self.name} PARTITION ({spec}) SET LOCATION '{place}'")
-            else:
-                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({spec})")
+        known = {self._from_path(row[0]) for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
+        for label in sorted(filled & known):
+            self._alter(f"{self._spec(label)} SET LOCATION '{folder}/{self._path(label)}'")
+        added = [f"{self._spec(label)} LOCATION '{folder}/{self._path(label)}'" for label in sorted(filled - known)]
+        if added:
+            self._alter("ADD IF NOT EXISTS " + " ".join(added))
+        emptied = [self._spec(label) for label in sorted(set(labels) & known - filled)]
+        if emptied:
+            self._alter("DROP IF EXISTS " + ", ".join(emptied))
+
+    def _alter(self, change: str) -> None:
+        self.spark.sql(f"ALTER TABLE {self.name} {change}")
+
+    def _path(self, label: str) -> str:
+        return "/".join(f"{column}={value}" for column, value in zip(self.partitions, label.split("/")))
+
+    def _from_path(self, path: str) -> str:
+        return "/".join(step.split("=", 1)[1] for step in path.split("/"))
+
+    def _spec(self, label: str) -> str:
+        values = zip(self.partitions, label.split("/"))
+        return "PARTITION (" + ", ".join(f"{column}='{value}'" for column, value in values) + ")"
 
 
 class CandidateStore:
@@ -125,15 +140,15 @@ class CandidateStore:
         if store_cv:
             inserted = broadcast_if_small(self.read().where(own).select("id"))
             files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
-            self.files.replace(files, [load_id])
+            self.files.replace(_prefixed(files), self.files.labels(self.read_files().where(own)))
 
     def delete(self, ids: DataFrame) -> None:
         """Remove candidates and their files, rewriting only the partitions they lie in."""
-        doomed = broadcast_if_small(ids.select("id"))
-        hit = self.people.labels(self.read().join(doomed, "id", "left_semi"))
-        loads = sorted({label.split("/")[1] for label in hit})
+        doomed = self.read().join(broadcast_if_small(ids.select("id")), "id", "left_semi")
+        hit = self.people.labels(doomed)
         if hit:
-            self.files.replace(delete_by_id(self.files.content(loads), ids), loads)
+            files = self.files.labels(_prefixed(doomed))
+            self.files.replace(delete_by_id(self.files.content(files), ids), files)
             self.people.replace(delete_by_id(self.people.content(hit), ids), hit)
 
     def update(self, edits: DataFrame, order: str | None = None) -> None:
@@ -145,6 +160,16 @@ class CandidateStore:
             self.people.replace(_placed(update_by_id(self.people.content(hit), edits)), hit)
 
 
+    def lookup(self, candidate_id: str) -> DataFrame:
+        """File, name and job of one candidate: one row or none."""
+        files = self.read_files().where(F.col("id_prefix") == candidate_id[:1])
+        return lookup(self.read(), files, candidate_id)
+
+
+def _prefixed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id_prefix", F.substring("id", 1, 1))
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """Rows with the month they belong to."""
     return rows.withColumn("applied_month", F.coalesce(calendar_part("applied_at", "month"), F.lit(UNKNOWN_MONTH)))

@@ -109,6 +109,9 @@ def test_files_update_and_delete(spark, store):
     files = {r.id: bytes(r.cv) for r in store.read_files().collect()}
     assert set(files) == {ids["x"], ids["y"], ids["z"]}
     assert files[ids["x"]] == b"%PDF" + named("a", "x").encode()
+    assert tuple(store.lookup(ids["z"]).first()) == (files[ids["z"]], "z", "a")
+    assert tuple(store.lookup(ids["w"]).first()) == (None, "w", "a")
+    assert store.lookup("nobody").first() is None
 
     before = {r.id: r.path for r in store.read().select("id", F.input_file_name().alias("path")).collect()}
     edits = spark.createDataFrame([(ids["x"], 3, "2024-05-05"), (ids["y"], 0, "2024-02-01")], "id string, status int, applied_at string")
