@@ -19,9 +19,8 @@ from postulant.functions.attachments import (
     resume_type,
 )
 from postulant.functions.text import header_lines, job_from_filename, location_in, name_from_filename, title_in
-from postulant.operators.extraction import ask_model
 from postulant.operators.upsert import insert_if_absent
-from postulant.plans.ingest import candidates, prompts
+from postulant.plans.ingest import answered, candidates, prompts
 from postulant.schema import CANDIDATES, MESSAGES as MESSAGE_SCHEMA
 from postulant.session import work_folder
 from postulant.sources.candidates import CandidateStore
@@ -82,7 +81,7 @@ def candidate_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts(messages(spark, folder))
+    return prompts(messages(spark, folder)).select("filename", "prompt")
 
 
 def new_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +97,7 @@ def extraction(spark: SparkSession, folder: str) -> DataFrame:
     def client():
         return lambda asked: asked.map(lambda text: json.dumps({"Expérience": len(text), "Compétences": "Spark"}))
 
-    return normalise_answers(ask_model(model_prompts(spark, folder), client)).drop("prompt")
+    return normalise_answers(answered(messages(spark, folder), client).select("filename", "response"))
 
 
 def streamed(spark: SparkSession, folder: str) -> DataFrame:

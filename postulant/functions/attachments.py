@@ -16,13 +16,13 @@ def file_extension(name: Column | str) -> Column:
 
 
 def first_attachment(df: DataFrame, attachments: str = "attachments") -> DataFrame:
-    """Replace the attachments by the fields of the first one: `file_name`, `file_pages` and so on.
+    """Add the fields of the first attachment: `file_name`, `file_pages` and so on.
 
     No other attachment is ever tried. As the lowest projection this lets the scan
     read only those fields that are used later, above all not the file bytes.
     """
     fields = {f"file_{f.name}": F.get(F.col(attachments).getField(f.name), F.lit(0)) for f in ATTACHMENT.fields}
-    return df.withColumns(fields).drop(attachments)
+    return df.withColumns(fields)
 
 
 def resume_type(name: Column | str) -> Column:

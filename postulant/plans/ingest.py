@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,37 +20,36 @@ from postulant.functions.text import (
     name_from_filename,
     title_in,
 )
-from postulant.schema import CANDIDATES, DEFAULT_STATUS, NO_EXPERIENCE, NOT_AVAILABLE
+from postulant.operators.extraction import Ask, ask_model
+from postulant.schema import CANDIDATES, DEFAULT_STATUS, MESSAGES, NO_EXPERIENCE, NOT_AVAILABLE
 
 
-def with_headers(messages: DataFrame, fallback: bool = False) -> DataFrame:
-    """Add what the file name, the mail head and the resume tell.
+def with_text(messages: DataFrame, fallback: bool = False) -> DataFrame:
+    """Add `text`, which is null without a readable resume and empty without text, and `cv`.
 
-    `text` is null without a readable attachment type and empty without text. The
-    bytes of the files are only read if `cv` is used later.
+    The bytes of the files are only read if `cv` is used later.
     """
-    staged = first_attachment(messages).withColumns({
-        "_lines": header_lines("body"),
-        "_kind": resume_type("file_name"),
-    })
-    read = {
-        "applied_at": F.col("sent_at"),
-        "job": job_from_filename("filename"),
-        "name": name_from_filename("filename"),
-        "title": title_in("_lines"),
-        "location": location_in("_lines"),
+    chosen = first_attachment(messages).withColumn("_kind", resume_type("file_name"))
+    return chosen.withColumns({
         "text": resume_text("_kind", "file_pages", "file_tables", "file_paragraphs", fallback),
         "cv": F.when(F.col("_kind").isNotNull(), F.col("file_content")),
-    }
-    return staged.withColumns(read).select("filename", "response", *read)
+    })
 
 
 def prompts(messages: DataFrame, fallback: bool = False) -> DataFrame:
     """Add the model prompt, built from the masked resume; null where there is no text."""
-    read = with_headers(messages, fallback).withColumn("names", maskable_names("name"))
-    masked = redact(read.select("filename", "text", "names"))
+    named = with_text(messages, fallback).withColumn("names", maskable_names(name_from_filename("filename")))
     asked = F.when(F.col("text") != "", fill_prompt("redacted"))
-    return masked.select("filename", asked.alias("prompt"))
+    return redact(named).select(*messages.columns, asked.alias("prompt"))
+
+
+def answered(messages: DataFrame, make_client: Callable[[], Ask], fallback: bool = False) -> DataFrame:
+    """The mails with the model's answers as their `response`.
+
+    Write them before the import goes on: each new action would ask the model again.
+    """
+    asked = ask_model(prompts(messages, fallback), make_client, response="_answer")
+    return asked.withColumn("response", F.col("_answer")).select(*[field.name for field in MESSAGES.fields])
 
 
 def candidates(messages: DataFrame, fallback: bool = False) -> DataFrame:
@@ -57,7 +58,18 @@ def candidates(messages: DataFrame, fallback: bool = False) -> DataFrame:
     A mail with a readable resume takes contacts from the text and fields from the
     model's answer. Without attachment or text, every such field is "not available".
     """
-    read = normalise_answers(with_headers(messages, fallback))
+    staged = with_text(messages, fallback).withColumn("_lines", header_lines("body"))
+    read = normalise_answers(staged.select(
+        "filename",
+        F.col("sent_at").alias("applied_at"),
+        job_from_filename("filename").alias("job"),
+        name_from_filename("filename").alias("name"),
+        title_in("_lines").alias("title"),
+        location_in("_lines").alias("location"),
+        "text",
+        "cv",
+        "response",
+    ))
     has_text = F.coalesce(F.col("text") != "", F.lit(False))
 
     def if_text(value: Column, otherwise: object = NOT_AVAILABLE) -> Column:
