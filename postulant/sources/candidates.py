@@ -3,8 +3,9 @@
 Parquet has no row-level writes. A change writes the new content of the touched
 partitions to a new folder and then points those partitions there. Nothing that
 is being read is overwritten, untouched partitions are not rewritten, and a job
-that fails before the switch leaves the table as it was. One writer at a time.
-The folders of replaced partitions stay until the storage's own clean-up.
+that fails before the switch leaves the table as it was. The switch goes partition
+by partition: if it breaks off, repeating the same call completes it. One writer
+at a time. The folders of replaced partitions stay until the storage's own clean-up.
 
 `applied_month` lets date ranges read only their months; `load_id` lets a
 repeated load replace its own rows and nothing else; `id_prefix` keeps a look-up
@@ -65,8 +66,11 @@ class PartitionedTable:
         """Rows of some partitions; the filter uses partition columns only, so others are not read."""
         return self.read().where(self._label().isin(labels))
 
-    def replace(self, rows: DataFrame, labels: list[str]) -> None:
-        """Let `rows` be the content of the given partitions and of those they lie in."""
+    def replace(self, rows: DataFrame, labels: list[str], gaining: list[str] = ()) -> None:
+        """Let `rows` be the content of the given partitions and of those they lie in.
+
+        Partitions that gain rows from others switch first, so that no row is ever missing.
+        """
         folder = f"{self.root}/{self.name}-{uuid.uuid4().hex}"
         kept = rows.select(*[f.name for f in self.schema.fields], *self.partitions)
         # Few files per folder: rows of a folder meet, and AQE splits what grows too large.
@@ -79,11 +83,11 @@ class PartitionedTable:
         )
         filled = set(self.labels(self.spark.read.schema(self._stored()).parquet(folder)))
         known = {self._from_path(row[0]) for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
-        for label in sorted(filled & known):
-            self._alter(f"{self._spec(label)} SET LOCATION '{folder}/{self._path(label)}'")
         added = [f"{self._spec(label)} LOCATION '{folder}/{self._path(label)}'" for label in sorted(filled - known)]
         if added:
             self._alter("ADD IF NOT EXISTS " + " ".join(added))
+        for label in sorted(filled & known, key=lambda label: (label not in gaining, label)):
+            self._alter(f"{self._spec(label)} SET LOCATION '{folder}/{self._path(label)}'")
         emptied = [self._spec(label) for label in sorted(set(labels) & known - filled)]
         if emptied:
             self._alter("DROP IF EXISTS " + ", ".join(emptied))
@@ -155,10 +159,12 @@ class CandidateStore:
         """Overwrite the supplied columns of the candidates that really change."""
         edits = last_edits(edits.drop(*CANDIDATE_PARTITIONS), order=order)
         changed = changed_rows(self.read(), edits)  # these still carry their old partition
-        hit = sorted({*self.people.labels(changed), *self.people.labels(_placed(changed))})
+        gaining = self.people.labels(_placed(changed))
+        hit = sorted({*self.people.labels(changed), *gaining})
         if hit:
-            self.people.replace(_placed(update_by_id(self.people.content(hit), edits)), hit)
-
+            # An earlier update that broke off may have left a moved row in both its partitions.
+            new = update_by_id(self.people.content(hit), edits).dropDuplicates(["id"])
+            self.people.replace(_placed(new), hit, gaining)
 
     def lookup(self, candidate_id: str) -> DataFrame:
         """File, name and job of one candidate: one row or none."""

@@ -11,16 +11,16 @@ from postulant.operators.browse import BrowseSpec, browse, filtered
 from postulant.plans.ingest import candidates, import_order, prompts
 from postulant.schema import MESSAGES
 from postulant.session import work_folder
-from postulant.sources.candidates import CandidateStore
+from postulant.sources.candidates import CandidateStore, PartitionedTable
 from postulant.sources.messages import read_mail_files, read_messages, stream_messages
 from postulant.streaming.incremental import import_stream
 
 HEAD = "a\t\r\nb\t\r\nc\t\r\n Data freelance \t\r\n Lyon \t\r\n"
 
 
-def mail(filename, day=1, text="Jean Dupont jean.d@site.fr 06 12 34 56 78", response='{"Freelance":"NON"}', name="cv.pdf"):
+def mail(filename, month=1, text="Jean Dupont jean.d@site.fr 06 12 34 56 78", response='{"Freelance":"NON"}', name="cv.pdf"):
     files = [] if name is None else [(name, [text], None, [text], b"%PDF" + filename.encode())]
-    return (filename, datetime(2024, day, 1), HEAD, files, response)
+    return (filename, datetime(2024, month, 1), HEAD, files, response)
 
 
 def named(job, name, copy=0):
@@ -130,6 +130,32 @@ def test_files_update_and_delete(spark, store):
     assert names(store) == [("a", "w"), ("a", "y")]
 
 
+@pytest.mark.parametrize("done", [0, 1, 2])
+def test_an_update_that_breaks_off(spark, store, monkeypatch, done):
+    """After any number of switched partitions no row is missing, and a second try completes the update."""
+    load(spark, store, "one", *[mail(named("a", f"n{m}"), m) for m in (1, 2, 5)])
+    ids = {r.name: r.id for r in store.read().collect()}
+    edits = spark.createDataFrame(
+        [(ids["n1"], "2024-05-09", 1), (ids["n2"], "2024-07-01", 2)], "id string, applied_at string, status int"
+    )
+    left = iter(range(done))
+    real = PartitionedTable._alter
+
+    def flaky(self, change):
+        if next(left, None) is None:
+            raise RuntimeError("driver lost")
+        real(self, change)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(PartitionedTable, "_alter", flaky)
+        with pytest.raises(RuntimeError):
+            store.update(edits)
+    assert {r.id for r in store.read().collect()} == set(ids.values())
+    store.update(edits)
+    rows = [(r.name, r.status, r.applied_month) for r in store.read().collect()]
+    assert sorted(rows) == [("n1", 1, "2024-05"), ("n2", 2, "2024-07"), ("n5", 0, "2024-05")]
+
+
 def test_stream_equals_batch(spark, store):
     folder, progress = work_folder(spark, "mails"), work_folder(spark, "progress")
     days = [mail(named(f"job {n % 3}", f"name {n % 7}", n), 1 + n % 12) for n in range(30)] + [mail(named("a", "", n), 1) for n in range(3)]
