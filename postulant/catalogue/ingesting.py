@@ -137,7 +137,8 @@ candidates AS (
     mail_title AS title, mail_location AS location,
     CASE WHEN has_text THEN email ELSE 'N/A' END AS email,
     CASE WHEN has_text THEN phone ELSE 'N/A' END AS phone,
-    CASE WHEN contains(lower(mail_title), 'freelance') THEN 'OUI' WHEN has_text THEN a_freelance ELSE 'N/A' END AS freelance,
+    CASE WHEN contains(lower(mail_title), 'freelance') THEN 'OUI'
+         WHEN has_text THEN a_freelance ELSE 'N/A' END AS freelance,
     CASE WHEN has_text THEN a_year ELSE 'N/A' END AS grad_year,
     CASE WHEN has_text THEN try_cast(replace(a_years, ',', '.') AS DOUBLE) ELSE -1 END AS years_exp,
     CASE WHEN has_text THEN a_companies ELSE 'N/A' END AS companies,
@@ -154,7 +155,8 @@ _COLUMNS = ", ".join(["applied_at", *SHOWN])
 
 _PROMPTS = f"""{_MAILS},
 named AS (SELECT *, {_NAMES} AS names, {phone_of('mail_text')} AS phone FROM mails),
-masked AS (SELECT filename, CASE WHEN mail_text <> '' THEN {redacted('mail_text', 'names', 'phone')} END AS redacted FROM named)"""
+masked AS (
+  SELECT filename, CASE WHEN mail_text <> '' THEN {redacted('mail_text', 'names', 'phone')} END AS redacted FROM named)"""
 
 
 def _template_parts() -> tuple[str, str]:
@@ -169,7 +171,7 @@ _BEFORE, _AFTER = _template_parts()
 SQL = {
     "ing_messages": f"""WITH {MESSAGES}
 SELECT id, filename, strftime(sent_at, '%Y-%m-%d %H:%M') AS sent_at,
-  CAST(CASE lang WHEN 'fr' THEN 2 WHEN 'es' THEN 0 ELSE CASE WHEN lang = 'en' AND source = 'src1' THEN 2 ELSE 1 END END AS INTEGER)
+  CAST(CASE WHEN lang = 'fr' OR (lang = 'en' AND source = 'src1') THEN 2 WHEN lang = 'es' THEN 0 ELSE 1 END AS INTEGER)
     AS n_attachments, CAST(strlen(body) AS INTEGER) AS body_bytes
 FROM answered WHERE filename LIKE '%.msg'""",
     "ing_filename": f"WITH {_MAILS} SELECT id, mail_job AS job, mail_name AS name FROM mails",

@@ -113,7 +113,8 @@ def responses(row: DataFrame) -> DataFrame:
 
 _FULL = r"""'{"Freelance": "' || CASE lang WHEN 'en' THEN 'OUI' ELSE 'NON' END
   || '", "Année de diplomation": "' || (n_chars % 30 + 2000) || '", "Expérience": "'
-  || (n_chars % 40) || ',' || (n_chars % 10) || '", "Entreprises": "' || source || '\& Co", "Compétences": "Spark, SQL"}'"""
+  || (n_chars % 40) || ',' || (n_chars % 10) || '", "Entreprises": "' || source
+  || '\& Co", "Compétences": "Spark, SQL"}'"""
 
 RESPONSE = rf"""CASE source[1:4]
   WHEN 'src2' THEN '{{"Freelance": "NON", "Entreprises": null}}'
@@ -133,7 +134,8 @@ ANSWERS = r"""parsed AS (
 fields AS (
   SELECT *,
     CASE WHEN json_exists(answer, '$."Freelance"') THEN answer ->> '$."Freelance"' ELSE 'N/A' END AS a_freelance,
-    CASE WHEN json_exists(answer, '$."Année de diplomation"') THEN answer ->> '$."Année de diplomation"' ELSE 'N/A' END AS a_year,
+    CASE WHEN json_exists(answer, '$."Année de diplomation"')
+         THEN answer ->> '$."Année de diplomation"' ELSE 'N/A' END AS a_year,
     CASE WHEN json_exists(answer, '$."Expérience"') THEN answer ->> '$."Expérience"' ELSE '-1' END AS a_years,
     CASE WHEN json_exists(answer, '$."Entreprises"') THEN answer ->> '$."Entreprises"' ELSE 'N/A' END AS a_companies,
     CASE WHEN json_exists(answer, '$."Compétences"') THEN answer ->> '$."Compétences"' ELSE 'N/A' END AS a_skills
@@ -159,7 +161,8 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     # The name ends at the first ".msg", so a copy number keeps file names unique.
     copy = F.concat(F.lit(" copy "), F.col("id").cast("string"), F.lit(".msg"))
     return docs.select(
-        F.when(lang == "en", F.concat(F.lit("application_ Data "), "source", F.lit(" from  "), "job", F.lit("  Martin.msg"), copy))
+        F.when(lang == "en", F.concat(
+            F.lit("application_ Data "), "source", F.lit(" from  "), "job", F.lit("  Martin.msg"), copy))
         .when(lang == "fr", F.concat(F.lit("application_ Analyste from "), "job", F.lit(".msg"), copy))
         .when(lang == "es", F.concat(F.lit("application_ Data from.msg"), copy))
         .otherwise(F.concat(F.lit("cv "), "source", F.lit(".eml"))).alias("filename"),

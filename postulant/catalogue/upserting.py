@@ -56,21 +56,28 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     place = work_folder(spark, "orders")
     store = CandidateStore(spark, place, "orders_" + place.rsplit("-", 1)[1])
     rows = orders(spark, folder).withColumn("filename", F.lpad(F.col("id").cast("string"), 12, "0"))
-    missing = [f for f in CANDIDATES.fields if f.name not in rows.columns]
-    rows = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing} | {"cv": F.lit(None).cast("binary")})
-    rows = rows.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in CANDIDATES.fields})
+    rows = rows.select("filename", *[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in CANDIDATES.fields if f.name != "id"
+    ])
     recent = F.col("applied_at") >= "1997-01-01"
     store.insert(rows.where(~recent), "early")
     store.insert(rows.where(recent), "late")
-    late = F.when(F.col("job") == "2-HIGH", F.col("applied_at") + F.expr("INTERVAL 1 MONTH")).otherwise(F.col("applied_at"))
     edited = store.read().where(F.col("job").isin("1-URGENT", "2-HIGH"))
-    store.update(edited.select("id", F.lit(3).alias("status"), late.cast("string").alias("applied_at")))
+    later = F.expr("if(job = '2-HIGH', applied_at + INTERVAL 1 MONTH, applied_at)").cast("string")
+    store.update(edited.select("id", F.lit(3).alias("status"), later.alias("applied_at")))
     store.delete(store.read().where(F.col("years_exp") > 45).select("id"))
     day = F.date_format("applied_at", "yyyy-MM-dd").alias("applied_at")
     return store.read().select("job", "name", "status", "years_exp", day, "applied_month", "load_id")
 
 
-QUERIES = {"mut_table": stored, "mut_insert": insert, "mut_update": update, "mut_changes": changes, "mut_delete": delete}
+QUERIES = {
+    "mut_insert": insert,
+    "mut_update": update,
+    "mut_changes": changes,
+    "mut_delete": delete,
+    "mut_table": stored,
+}
 
 _EDITS = f"""{ORDERS},
 edits AS (

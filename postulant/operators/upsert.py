@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,9 +20,9 @@ BROADCAST_ROWS = 1_000_000
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether a side is small enough to send to every executor. Runs one small count."""
-    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns])
-    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
-    return size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in df.columns]
+    size = df.agg(F.count("*").alias("n"), F.sum(reduce(add, widths)).alias("bytes")).first()
+    return size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

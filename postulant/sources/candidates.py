@@ -131,20 +131,25 @@ class CandidateStore:
         """
         if not re.fullmatch(r"[\w.-]+", load_id):
             raise ValueError(f"a load id names a folder, so {load_id!r} will not do")
-        named = batch.withColumns({"id": F.expr("uuid()"), "load_id": F.lit(load_id)})
-        if store_cv:
-            # Writing the batch once fixes the ids, and keeps the files out of the sort and
-            # shuffle that find the new rows.
-            staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-            named.write.parquet(staged)
-            named = self.spark.read.schema(named.schema).parquet(staged)
         own = F.col("load_id") == load_id
-        new = insert_if_absent(named.drop("cv"), self.read().where(~own))
-        self.people.replace(_placed(new), self.people.labels(self.read().where(own)))
-        if store_cv:
-            inserted = broadcast_if_small(self.read().where(own).select("id"))
-            files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
-            self.files.replace(_prefixed(files), self.files.labels(self.read_files().where(own)))
+        others = self.read().where(~own)
+        before = self.people.labels(self.read().where(own))
+        # A random id keeps Spark from filtering before the work, so it comes as late as possible.
+        new_id, load = F.expr("uuid()").alias("id"), F.lit(load_id).alias("load_id")
+        if not store_cv:
+            new = insert_if_absent(batch.drop("cv"), others)
+            self.people.replace(_placed(new.select("*", new_id, load)), before)
+            return
+        # Writing the batch once fixes the ids, and keeps the files out of the sort and
+        # shuffle that find the new rows.
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        named = batch.select("*", new_id, load)
+        named.write.parquet(staged)
+        named = self.spark.read.schema(named.schema).parquet(staged)
+        self.people.replace(_placed(insert_if_absent(named.drop("cv"), others)), before)
+        inserted = broadcast_if_small(self.read().where(own).select("id"))
+        files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
+        self.files.replace(_prefixed(files), self.files.labels(self.read_files().where(own)))
 
     def delete(self, ids: DataFrame) -> None:
         """Remove candidates and their files, rewriting only the partitions they lie in."""
