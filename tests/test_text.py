@@ -174,6 +174,23 @@ def test_against_python(spark):
     assert sum("[ADRESSE]" in row.placeless for row in rows) > 500
 
 
+def test_names_against_python(spark):
+    source = random.Random(5)
+    letters = ["a", "A", "é", "É", "n", "o", "mis", "K", "ß", ".", "(", "$1", "\\", "[", " ", "ano", "ſ", "S"]
+    rows = []
+    for n in range(3000):
+        text = "".join(source.choices(letters, k=source.randint(0, 25)))
+        rows.append((n, text, ["".join(source.choices(letters, k=source.randint(1, 3))) for _ in range(n % 4)]))
+    masked = spark.createDataFrame(rows, "n long, text string, names array<string>").select(
+        "n", c.mask_names("text", "names").alias("masked")
+    )
+    for n, result in masked.collect():
+        _, expected, names = rows[n]
+        for name in sorted(names, key=len, reverse=True):
+            expected = re.sub("(?i)" + re.escape(name), "[ANONYMISÉ]", expected)
+        assert result == expected
+
+
 def test_redaction_leaves_no_address(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet").withColumn("names", F.array().cast("array<string>"))
     assert c.redact(documents).where(F.col("redacted").rlike(EMAIL)).count() == 0
