@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postulant.catalogue.standins import ORDERS, orders
 from postulant.functions.status import status_code
 from postulant.operators import upsert as up
+from postulant.operators.browse import edits_of, present
 from postulant.schema import CANDIDATES
 from postulant.session import work_folder
 from postulant.sources.candidates import CandidateStore
@@ -44,6 +45,14 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     return up.changed_rows(orders(spark, folder), edits(spark, folder)).select(*COLUMNS)
 
 
+def save_page(spark: SparkSession, folder: str) -> DataFrame:
+    """What remains to save of a listing in which urgent orders got a new label."""
+    shown = present(orders(spark, folder))
+    label = F.when(F.col("job") == "1-URGENT", "📨 Formulaire envoyé").otherwise(F.col("status"))
+    saved = edits_of(shown, shown.withColumn("status", label))
+    return saved.select("id", "job", "name", "phone", "status", "years_exp")
+
+
 def delete(spark: SparkSession, folder: str) -> DataFrame:
     """Remove the very large orders and those without a name."""
     rows = orders(spark, folder)
@@ -75,6 +84,7 @@ QUERIES = {
     "mut_insert": insert,
     "mut_update": update,
     "mut_changes": changes,
+    "mut_save": save_page,
     "mut_delete": delete,
     "mut_table": stored,
 }
@@ -111,6 +121,9 @@ FROM applications a LEFT JOIN edits e ON a.id = e.id""",
 SELECT a.id AS id, job, name, e.status AS status, e.years_exp AS years_exp
 FROM applications a JOIN edits e ON a.id = e.id
 WHERE e.status <> a.status OR e.years_exp <> a.years_exp""",
+    "mut_save": f"""WITH {ORDERS}
+SELECT CAST(id AS VARCHAR) AS id, job, name, phone, 1 AS status, years_exp FROM applications
+WHERE job = '1-URGENT' AND status <> 1""",
     "mut_delete": f"""WITH {ORDERS}
 SELECT id, job, name, status, years_exp FROM applications
 WHERE id NOT IN (SELECT id FROM applications WHERE years_exp > 45 OR name = '')""",

@@ -57,7 +57,8 @@ def mask_names(text: Column | str, names: Column | str) -> Column:
 
 
 def mask_emails(text: Column | str) -> Column:
-    return F.regexp_replace(as_column(text), EMAIL_SEARCH, MASKED_EMAIL)
+    body = as_column(text)
+    return F.when(body.contains("@"), F.regexp_replace(body, EMAIL_SEARCH, MASKED_EMAIL)).otherwise(body)
 
 
 def mask_phone(text: Column | str, phone: Column | str) -> Column:
@@ -77,15 +78,13 @@ def redact(df: DataFrame, text: str = "text", names: str = "names", masked: str
     """Add `email`, `phone` and the masked text.
 
     Both contacts are read from the untouched text; then names, addresses, the
-    phone number and the postal address are masked in this order. Masking a name
-    cannot create an address, so texts without one skip that search. Each step is
-    a projection of its own, which keeps Spark from computing a step twice.
+    phone number and the postal address are masked in this order. Each step is a
+    projection of its own, which keeps Spark from computing a step twice.
     """
-    has_email = F.col("email").isNotNull()
     return (
         df.withColumns({"email": first_email(text), "phone": first_phone(text)})
         .withColumn(masked, mask_names(text, names))
-        .withColumn(masked, F.when(has_email, mask_emails(masked)).otherwise(F.col(masked)))
+        .withColumn(masked, mask_emails(masked))
         .withColumn(masked, mask_phone(masked, "phone"))
         .withColumn(masked, mask_addresses(masked))
     )

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postulant.functions.dates import within_days
-from postulant.functions.status import status_label
+from postulant.functions.status import status_code, status_label
+from postulant.operators.upsert import changed_rows
 from postulant.schema import ALL, EXPERIENCE_RANGE, NO, PAGE_SIZE, SEARCHABLE, STATUS_LABELS, YES
 
 COLLATION = "fr_CI_AI"  # fixed value
@@ -99,6 +100,12 @@ def present(df: DataFrame) -> DataFrame:
     return shown.select(*[c for c in shown.columns if c != "id"], "id")
 
 
+def edits_of(shown: DataFrame, edited: DataFrame) -> DataFrame:
+    """Rows of an edited page that differ from the page as shown, in their stored form."""
+    stored = {"status": status_code("status"), "phone": F.when(F.col("phone") != "", F.col("phone"))}
+    return changed_rows(shown, edited).withColumns(stored)
+
+
 def browse(df: DataFrame, spec: BrowseSpec = BrowseSpec()) -> DataFrame:
     """One page. Spark plans sort, offset and limit as a top-k, not as a full sort."""
     rows = in_order(filtered(df.drop("cv"), spec), spec.sort)

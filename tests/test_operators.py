@@ -18,7 +18,7 @@ NAMES = ["Zoé", "zoe", "Éric", "eric", "Œuf", "oeuf", None, "Anne", "anné",
 @pytest.fixture(scope="module")
 def people(spark):
     rows = [
-        (datetime(2024, 1, 1 + n), f"Job {n % 3}", name, f"Titre {n}", None, None if n % 2 else f"0{n}", str(n),
+        (datetime(2024, 1, 1 + n), f"Job {n % 3}", name, f"Titre {n}", None, None if n % 2 else f"0{n}", None if n % 2 else str(n),
          "OUI" if n % 2 else "NON", "2018", float(n), "ACME", "Spark, SQL", n % 5 - 1, f"{n:02d}")
         for n, name in enumerate(NAMES)
     ]
@@ -101,6 +101,15 @@ def test_pages_together_are_the_whole_listing(people, sort):
     assert walked == whole
 
 
+def test_only_edited_rows_of_a_page_are_saved(people):
+    shown = br.browse(people)
+    edited = shown.withColumn("status", F.when(F.col("id") == "03", "✅ Go process").otherwise(F.col("status")))
+    edited = edited.withColumn("name", F.when(F.col("id") == "06", "Anna").otherwise(F.col("name")))
+    saved = {r.id: (r.name, r.status, r.phone) for r in br.edits_of(shown, edited).collect()}
+    assert saved == {"03": ("eric", 3, None), "06": ("Anna", 0, "6")}
+    assert br.edits_of(shown, shown).count() == 0
+
+
 def test_total_and_lookup(people):
     assert tuple(br.total(people, BrowseSpec(page_size=3)).first()) == (10, 4)
     assert tuple(br.total(people, BrowseSpec(job="nobody")).first()) == (0, 0)
