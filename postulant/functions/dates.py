@@ -58,5 +58,7 @@ def within_days(df: DataFrame, column: str, days: tuple[date, ...], through_midn
     first, last = day_bounds(*days, through_midnight)
     inside = F.col(column).between(F.lit(str(first)).cast(kind), F.lit(str(last)).cast(kind))
     if "applied_month" in df.columns:
-        inside &= F.col("applied_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}")
+        # Wide enough for a table written under any other session time zone.
+        slack = timedelta(days=2)
+        inside &= F.col("applied_month").between(f"{first - slack:%Y-%m}", f"{last + slack:%Y-%m}")
     return inside

@@ -87,6 +87,9 @@ def test_loads(spark, store):
     load(spark, store, "two", *first, mail(named("b", "y")))  # a new load appends the rows without a key again
     assert names(store) == [("a", ""), ("a", ""), ("a", "x"), ("b", "y")]
     assert store.read().select("id").distinct().count() == 4
+    load(spark, store, "three", first[0], store_cv=True)  # nothing new
+    load(spark, store, "four", mail(named("c", "z"), name=None), store_cv=True)  # no file
+    assert len(names(store)) == 5 and store.read_files().count() == 0
     with pytest.raises(ValueError):
         load(spark, store, "no/slash", *first)
 
