@@ -60,7 +60,7 @@ def flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def formats(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).select("id", t.one_decimal(F.col("n_chars") / 8 + 0.03).alias("shown"))
+    return documents(spark, folder).select("id", t.one_decimal(F.col("n_chars") / 8).alias("shown"))
 
 
 def classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,7 +173,7 @@ SELECT id, trim(replace(replace(x, chr(0), ''), chr(10), ' '), {_BLANKS}) AS pdf
     "tx_flag": f"""WITH {DOCUMENTS}
 SELECT id, CASE WHEN source = 'src1' OR contains(lower(title), 'freelance') THEN 'OUI'
                 WHEN lang = 'fr' THEN 'NON' WHEN lang = 'es' THEN 'N/A' END AS freelance FROM resumes""",
-    "tx_fmt": f"WITH {DOCUMENTS} SELECT id, printf('%.1f', n_chars / 8 + 0.03::DOUBLE) AS shown FROM resumes",
+    "tx_fmt": f"WITH {DOCUMENTS} SELECT id, printf('%.1f', n_chars / 8) AS shown FROM resumes",
     "tx_class": f"""WITH {DOCUMENTS}
 SELECT id, CASE WHEN source = 'src1' THEN 'freelance'
                 WHEN lang NOT IN ('de', 'es') AND n_chars % 60 + 1980 <= 2020 THEN 'senior' ELSE '' END AS class

@@ -102,7 +102,9 @@ def fill_prompt(text: Column | str, template: str = DEFAULT_PROMPT) -> Column:
 
 
 def one_decimal(number: Column | str) -> Column:
-    return F.format_string("%.1f", as_column(number))
+    """One decimal, a half going to the even digit: 2.25 shows as 2.2."""
+    value = as_column(number)
+    return F.when(value.isNotNull(), F.format_string("%.1f", F.bround(value, 1)))
 
 
 def row_class(grad_year: Column | str, freelance: Column | str) -> Column:

@@ -169,5 +169,5 @@ def turn_page(page: int, move: str, rows_shown: int, n_pages: int, page_size: in
     if move == "next":
         return page + 1 if rows_shown == page_size else page
     if move == "last":
-        return n_pages - 1
+        return max(n_pages - 1, 0)
     raise ValueError(f"unknown move {move!r}")

@@ -118,6 +118,11 @@ def test_row_class(spark, year, freelance, kind):
     assert df.select(t.row_class("year", "freelance")).first()[0] == kind
 
 
+def test_one_decimal(spark):
+    df = spark.createDataFrame([(2.25,), (2.75,), (-0.25,), (-1.0,), (None,)], "years double")
+    assert [r[0] for r in df.select(t.one_decimal("years")).collect()] == ["2.2", "2.8", "-0.2", "-1.0", None]
+
+
 def test_prompt_keeps_braces_of_the_text(spark):
     assert one(spark, "{text} {x} $1", t.fill_prompt("text", "CV: {text}.")) == "CV: {text} {x} $1."
 
