@@ -11,6 +11,7 @@ from postulant.functions.answers import normalise_answers
 from postulant.functions.attachments import first_attachment, resume_text, resume_type
 from postulant.functions.contacts import first_email, first_phone, redact
 from postulant.functions.text import (
+    DEFAULT_PROMPT,
     fill_prompt,
     freelance_flag,
     header_lines,
@@ -36,19 +37,21 @@ def with_text(messages: DataFrame, fallback: bool = False) -> DataFrame:
     })
 
 
-def prompts(messages: DataFrame, fallback: bool = False) -> DataFrame:
+def prompts(messages: DataFrame, template: str = DEFAULT_PROMPT, fallback: bool = False) -> DataFrame:
     """Add the model prompt, built from the masked resume; null where there is no text."""
     named = with_text(messages, fallback).withColumn("names", maskable_names(name_from_filename("filename")))
-    asked = F.when(F.col("text") != "", fill_prompt("redacted"))
+    asked = F.when(F.col("text") != "", fill_prompt("redacted", template))
     return redact(named).select(*messages.columns, asked.alias("prompt"))
 
 
-def answered(messages: DataFrame, make_client: Callable[[], Ask], fallback: bool = False) -> DataFrame:
+def answered(
+    messages: DataFrame, make_client: Callable[[], Ask], template: str = DEFAULT_PROMPT, fallback: bool = False
+) -> DataFrame:
     """The mails with the model's answers as their `response`.
 
     Write them before the import goes on: each new action would ask the model again.
     """
-    asked = ask_model(prompts(messages, fallback), make_client, response="_answer")
+    asked = ask_model(prompts(messages, template, fallback), make_client, response="_answer")
     return asked.withColumn("response", F.col("_answer")).select(*[field.name for field in MESSAGES.fields])
 
 

@@ -62,6 +62,8 @@ def test_three_kinds_of_mail(spark):
     assert got["silent"].companies == "N/A" and got["silent"].years_exp == -1
     assert {r.status for r in got.values()} == {0}
     asked = {r.filename: r.prompt for r in prompts(rows).collect()}
+    own = {r.filename: r.prompt for r in prompts(rows, "Lis : {text}").collect()}
+    assert own["docx"] == "Lis : rien"
     assert asked["blank"] is None and asked["none"] is None and "[EMAIL]" in asked["full"]
 
 
