@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postulant.llm import bpe, quality_rules, warc
+from postulant.llm import bpe, minhash, mixing, pii, quality_classifier, quality_rules, toxicity, warc
 
-MODULES = (warc, quality_rules, bpe)
+MODULES = (warc, quality_rules, quality_classifier, pii, mixing, bpe, minhash, toxicity)
 
 
 def all_queries() -> dict:
