@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postulant.llm import bpe, minhash, mixing, pii, quality_classifier, quality_rules, toxicity, warc
+from postulant.llm import bpe, embeddings, minhash, mixing, pii, quality_classifier, quality_rules, suffixes, toxicity, warc
 
-MODULES = (warc, quality_rules, quality_classifier, pii, mixing, bpe, minhash, toxicity)
+MODULES = (embeddings, warc, quality_rules, quality_classifier, pii, mixing, bpe, suffixes, minhash, toxicity)
 
 
 def all_queries() -> dict:
