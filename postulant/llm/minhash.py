@@ -15,9 +15,9 @@ hashes of the shingles.
    if it reaches the threshold with a probability below `MISS`, the pair is pruned.
 4. Survivors are verified on the full sets.
 5. Buckets that then still hold several components compare the members of different
-   components in blocks of at most 2 x `BLOCK` rows, within the task; only survivors
-   leave it. Of these, the best pair of every two components is verified first, and
-   what still joins different components afterwards.
+   components in blocks of at most 2 x `BLOCK` rows: pruned as before and verified on
+   the full sets within the task. A link joins its components there at once, so a
+   task emits at most one link for each component it joins.
 
 So no link between different components is missed but by banding (below 1e-4 at a
 similarity of exactly 0.8) or by pruning (`MISS`); pairs within one component need
@@ -199,14 +199,13 @@ def prune(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return close.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets, which are made anew from the texts of the nodes concerned."""
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+def full_sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in `asked`, made anew from their texts."""
     needed = written(nodes.select("node", "doc_id", "n", "d1", "d2").join(asked, "node", "left_semi"), "asked")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, flat, offsets in sets(batch.column(0)):
+            for _, _, flat, offsets in sets(batch.column(0)):
                 values = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 digests = [pa.array(_sums(flat, offsets, salt)) for salt in (0x51ED, 0xC0FFEE)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), *digests, pa.array(values, pa.binary())], ["n", "d1", "d2", "shingles"])
@@ -214,7 +213,12 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     ids = small(needed.select(F.col("doc_id").alias("_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(ids, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text")
     made = texts.mapInArrow(make, "n long, d1 long, d2 long, shingles binary")
-    known = written(made.join(needed, ["n", "d1", "d2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    return written(made.join(needed, ["n", "d1", "d2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked by their full sets."""
+    known = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,36 +235,63 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Promising pairs of different components in buckets that hold several: a, b, la, lb, matches."""
+def _across(column: dict[str, np.ndarray], sig: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join different labels among the rows of one pair of blocks of a bucket.
+
+    Each row meets the later rows of other labels, without its bucket's leader (met before)
+    and without rows that share an earlier band with it (met there).
+    """
+    label, links = column["label"].copy(), []
+    _, codes = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(flat) + 1, bool)
+    whole = column["b1"] == column["b2"]
+    for i in range(len(label) - 1):
+        if column["leads"][i]:
+            continue
+        j = np.arange(i + 1, len(label))
+        j = j[(label[j] != label[i]) & ~column["leads"][j] & (whole[j] | (column["block"][j] != column["block"][i]))]
+        j = j[_similar_size(column["n"][i], column["n"][j])]
+        if not len(j):
+            continue
+        kept, _ = promising(np.broadcast_to(sig[i], (len(j), HASHES)), sig[j], column["band"][j])
+        j = j[kept]
+        if not len(j):
+            continue
+        mine = codes[offsets[i] : offsets[i + 1]]
+        mark[mine] = True
+        both = np.array([np.count_nonzero(mark[codes[offsets[x] : offsets[x + 1]]]) for x in j])
+        mark[mine] = False
+        for x in j[100 * both >= PERCENT * (column["n"][i] + column["n"][j] - both)]:
+            if label[x] != label[i]:
+                links.append((int(column["node"][i]), int(column["node"][x])))
+                label[label == label[x]] = label[i]
+    return links
+
+
+def joining(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within buckets that hold several."""
     labelled = members.where("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    of_open = labelled.join(small(written(split, "open")), "key", "left_semi")
-    wide = of_open.join(nodes.select("node", "n", "sig"), "node")
+    of_open = written(labelled.join(small(written(split, "open")), "key", "left_semi"), "open-members")
+    known = full_sets(of_open.select("node").distinct(), nodes, docs)
+    wide = of_open.join(nodes.select("node", "n", "sig").join(known, "node"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     placed = wide.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    keyed = placed.select(
-        "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "band", "node", "label", (F.col("node") == F.col("leader")).alias("leads"), "n", "sig"
-    )
+    leads = F.col("node") == F.col("leader")
+    narrow = ("block", "band", "node", "label", leads.alias("leads"), "n", "sig", "shingles")
+    keyed = placed.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), *narrow)
 
     def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
         column = {c: table.column(c).to_numpy() for c in ("b1", "b2", "block", "band", "node", "label", "leads", "n")}
-        key = table.column("key").to_numpy()
-        sig = _matrix(table.column("sig"))
+        key, sig = table.column("key").to_numpy(), _matrix(table.column("sig"))
+        shingles = table.column("shingles").to_pylist()
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (column["b1"][1:] != column["b1"][:-1]) | (column["b2"][1:] != column["b2"][:-1])]))
+        links = []
         for a, b in zip(new, [*new[1:], len(key)], strict=True):
-            g = {c: v[a:b] for c, v in column.items()}
-            for at in range(0, b - a, 32):
-                i, j = np.meshgrid(np.arange(at, min(at + 32, b - a)), np.arange(b - a), indexing="ij")
-                i, j = i.ravel(), j.ravel()
-                crossing = (g["block"][i] != g["block"][j]) | (g["b1"][i] == g["b2"][i])
-                wanted = (i < j) & crossing & (g["label"][i] != g["label"][j]) & ~g["leads"][i] & ~g["leads"][j] & _similar_size(g["n"][i], g["n"][j])
-                i, j = i[wanted], j[wanted]
-                if not len(i):
-                    continue
-                kept, matches = promising(sig[a + i], sig[a + j], g["band"][i])
-                i, j = i[kept], j[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g["node"][i], g["node"][j], g["label"][i], g["label"][j], matches)], ["a", "b", "la", "lb", "matches"])
+            flat = np.frombuffer(b"".join(shingles[a:b]), U)
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in shingles[a:b]])])
+            links += _across({c: v[a:b] for c, v in column.items()}, sig[a:b], flat, offsets)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
@@ -281,7 +312,7 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
             yield from within(carried)
 
     dealt = keyed.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return dealt.mapInArrow(run, "a long, b long, la long, lb long, matches int")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -298,18 +329,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(verify(written(prune(star, nodes), "promising"), nodes, docs), "linked")
     labels = components(links)
 
-    rest = written(_rest(members, labels, nodes), "rest")
-    if not rest.isEmpty():
-        for best_only in (True, False):
-            pairs = rest.select("a", "b", "matches")
-            for side in ("a", "b"):
-                pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-            pairs = pairs.where("la <> lb")
-            if best_only:
-                best = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max(F.struct("matches", "a", "b")).alias("best"))
-                pairs = best.select("best.a", "best.b")
-            links = written(links.union(verify(written(pairs.select("a", "b").distinct(), "pairs"), nodes, docs)), "linked")
-            labels = components(links)
+    labels = components(links.union(written(joining(members, labels, nodes, docs), "joining")))
 
     of_class = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
