@@ -44,7 +44,7 @@ GRAM = 20
 WINDOWS = LENGTH - GRAM + 1
 ROWS_BITS = 11
 SHARDS = 4
-MERGED = 1 << 19  # bytes of snippets merged at once
+MERGED = 1 << 18  # bytes of snippets merged at once
 LARGEST = np.iinfo(np.int64).max
 BLOBS = "part long, chunk long, blob binary"
 ENTRY = np.dtype([("gram", "u8"), ("snippet", "u8"), ("doc", "i8")])
@@ -245,8 +245,8 @@ def merge_transforms(strings: list[bytes], shards: int = SHARDS, depth: int = LE
         back.append(ahead + base)
         closing.append(base + np.arange(len(ends)))  # closing symbols rank first in their shard
         base += len(text)
-    symbol, ahead, closed = np.concatenate(symbols), np.concatenate(back), np.concatenate(closing)
-    interleave, group = np.arange(base), np.zeros(base, np.int32)
+    symbol, ahead, closed = np.concatenate(symbols), np.concatenate(back).astype(np.int32), np.concatenate(closing).astype(np.int32)
+    interleave, group = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
     common = np.full(base, depth, np.int16)
     common[:1] = 0
     for round_ in range(depth):
