@@ -56,7 +56,9 @@ def _listing(df: DataFrame) -> DataFrame:
 
 
 def sorted_page(spark: SparkSession, folder: str) -> DataFrame:
-    return br.in_order(orders(spark, folder), (("phone", False), ("years_exp", True))).limit(50).select("id", "phone")
+    """The second page of a listing by two columns."""
+    spec = BrowseSpec(sort=(("phone", False), ("years_exp", True)), page=1)
+    return br.browse(orders(spark, folder), spec).select("id", "phone")
 
 
 def page(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +78,20 @@ def lookup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.decode("cv", "UTF-8").alias("cv"), "name", "job")
 
 
+def nobody(spark: SparkSession, folder: str) -> DataFrame:
+    """A page no row is on keeps its columns; an incomplete range of days selects nothing away."""
+    spec = BrowseSpec(job="1-urgent", days=(date(1997, 1, 1),), experience=(99, 100))
+    return _listing(br.browse(orders(spark, folder), spec))
+
+
+def open_range(spark: SparkSession, folder: str) -> DataFrame:
+    """An incomplete range of days is ignored."""
+    return br.total(orders(spark, folder), BrowseSpec(job="1-urgent", days=(date(1997, 1, 1),), experience=(5, 30)))
+
+
 QUERIES = {
+    "br_nobody": nobody,
+    "br_open_range": open_range,
     "br_filters": filters,
     "br_date_range": date_range,
     "br_search": search,
@@ -111,7 +126,8 @@ SELECT id, job FROM resumes WHERE strip_accents(lower(job)) = 'the'""",
 SELECT id, job FROM resumes
 ORDER BY replace(strip_accents(lower(job)), 'ß', 'ss'), id LIMIT 100 OFFSET 100""",
     "br_sort": f"""WITH {ORDERS}
-SELECT id, phone FROM applications ORDER BY phone DESC NULLS LAST, years_exp, id LIMIT 50""",
+SELECT CAST(id AS VARCHAR) AS id, coalesce(phone, '') AS phone FROM applications WHERE years_exp BETWEEN -1 AND 30
+ORDER BY phone DESC NULLS LAST, years_exp, id LIMIT 20 OFFSET 20""",
     "br_page": f"""WITH {ORDERS}
 SELECT {_PAGE_COLUMNS} FROM (SELECT * FROM applications WHERE years_exp BETWEEN -1 AND 30
   ORDER BY job DESC, years_exp, id LIMIT 20 OFFSET 60)""",
@@ -122,6 +138,10 @@ SELECT {_PAGE_COLUMNS} FROM (SELECT applications.* FROM applications, seen WHERE
   ORDER BY job DESC, years_exp, id LIMIT 20)""",
     "br_total": f"""WITH {ORDERS}
 SELECT count(*) AS n_rows, CAST(ceil(count(*) / 20.0) AS BIGINT) AS n_pages FROM applications
+WHERE lower(job) = '1-urgent' AND years_exp BETWEEN 5 AND 30""",
+    "br_nobody": f"WITH {ORDERS} SELECT {_PAGE_COLUMNS} FROM applications WHERE years_exp BETWEEN 99 AND 100",
+    "br_open_range": f"""WITH {ORDERS}
+SELECT count(*) AS n_rows, CAST(ceil(count(*) / 20.0) AS BIGINT) AS n_pages FROM applications
 WHERE lower(job) = '1-urgent' AND years_exp BETWEEN 5 AND 30""",
     "br_jobs": f"WITH {ORDERS} SELECT DISTINCT job FROM applications",
     "br_lookup": f"""WITH {ORDERS}

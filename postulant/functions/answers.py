@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postulant.functions import as_column
+from postulant.functions.text import strip
 from postulant.schema import ANSWER_FIELDS
 
 _END = "\u0000end"
@@ -42,7 +43,7 @@ def answer_field(answer: Column | str, key: str, default: str) -> Column:
 
 def to_number(text: Column | str) -> Column:
     """A number written with a point or a comma; null for anything else."""
-    plain = F.translate(F.trim(as_column(text)), ",", ".")
+    plain = F.translate(strip(text), ",", ".")
     numeric = plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     return F.when(numeric, plain.try_cast("double"))
 

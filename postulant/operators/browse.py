@@ -7,13 +7,12 @@ regular expressions and scan filters go on working.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +48,12 @@ def matches(column: str, pattern: str) -> Column:
     """Case-insensitive search anywhere in one of the searchable columns."""
     if column not in SEARCHABLE:
         raise ValueError(f"cannot search in {column!r}")
-    re.compile(pattern)  # report a broken pattern before a job starts
-    return F.col(column).rlike("(?iu)" + pattern)
+    search = "(?iu)" + pattern
+    try:  # Spark itself tells whether it knows the pattern, before a job starts
+        SparkSession.active().range(1).select(F.lit("").rlike(search)).first()
+    except Exception as error:
+        raise ValueError(f"no valid search pattern: {pattern!r}") from error
+    return F.col(column).rlike(search)
 
 
 def predicates(df: DataFrame, spec: BrowseSpec) -> dict[str, Column]:

@@ -88,9 +88,10 @@ def delete_by_id(base: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def last_edits(edits: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """One edit per id: the latest by `order`, or any one if the edits have no order."""
+    """One edit per id: the latest by `order`; without an order the largest by its columns, so that every run keeps the same."""
     if order is None:
-        return edits.dropDuplicates([key])
+        whole = F.struct(*[c for c in edits.columns if c != key])
+        return edits.groupBy(key).agg(F.max(whole).alias("_edit")).select(key, "_edit.*")
     columns = [c for c in edits.columns if c not in (key, order)]
     newest = edits.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_edit"))
     return newest.select(key, "_edit.*")

@@ -5,7 +5,7 @@ partitions to a new folder and then points those partitions there. Nothing that
 is being read is overwritten, untouched partitions are not rewritten, and a job
 that fails before the switch leaves the table as it was. The switch goes partition
 by partition: if it breaks off, repeating the same call completes it. One writer
-at a time. The folders of replaced partitions stay until the storage's own clean-up.
+at a time. The folders of replaced partitions stay until `CandidateStore.vacuum`.
 
 `applied_month` lets date ranges read only their months; `load_id` lets a
 repeated load replace its own rows and nothing else; `id_prefix` keeps a look-up
@@ -35,6 +35,10 @@ from postulant.operators.upsert import (
 from postulant.schema import CANDIDATE_CV, CANDIDATE_PARTITIONS, CANDIDATES, CV_PARTITIONS, UNKNOWN_MONTH
 
 
+# What tells the mails of one load apart.
+IDENTITY = ("filename", "applied_at", "job", "name")
+
+
 @dataclass(frozen=True)
 class PartitionedTable:
     spark: SparkSession
@@ -83,6 +87,9 @@ class PartitionedTable:
         )
         filled = set(self.labels(self.spark.read.schema(self._stored()).parquet(folder)))
         known = {self._from_path(row[0]) for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
+        foreign = filled & known - {*labels}
+        if foreign:
+            raise RuntimeError(f"rows for partitions whose content was not read: {sorted(foreign)[:3]}; nothing was changed")
         added = [f"{self._spec(label)} LOCATION '{folder}/{self._path(label)}'" for label in sorted(filled - known)]
         if added:
             self._alter("ADD IF NOT EXISTS " + " ".join(added))
@@ -134,14 +141,17 @@ class CandidateStore:
         own = F.col("load_id") == load_id
         others = self.read().where(~own)
         before = self.people.labels(self.read().where(own))
-        # A random id keeps Spark from filtering before the work, so it comes as late as possible.
-        new_id, load = F.expr("uuid()").alias("id"), F.lit(load_id).alias("load_id")
+        # The same mail of the same load keeps its id when the load is repeated.
+        identity = F.concat_ws("/", F.lit(load_id), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY])
+        new_id, load = F.substring(F.sha2(identity, 256), 1, 32).alias("id"), F.lit(load_id).alias("load_id")
+        old_files = self.files.labels(self.read_files().where(own))
         if not store_cv:
             new = insert_if_absent(batch.drop("cv"), others)
             self.people.replace(_placed(new.select("*", new_id, load)), before)
+            if old_files:
+                self.files.replace(self.read_files().where(F.lit(False)), old_files)
             return
-        # Writing the batch once fixes the ids, and keeps the files out of the sort and
-        # shuffle that find the new rows.
+        # Writing the batch once keeps the files out of the sort and shuffle that find the new rows.
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
         named = batch.select("*", new_id, load)
         named.write.parquet(staged)
@@ -149,7 +159,8 @@ class CandidateStore:
         self.people.replace(_placed(insert_if_absent(named.drop("cv"), others)), before)
         inserted = broadcast_if_small(self.read().where(own).select("id"))
         files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
-        self.files.replace(_prefixed(files), self.files.labels(self.read_files().where(own)))
+        self.files.replace(_prefixed(files), old_files)
+        self._remove(staged)
 
     def delete(self, ids: DataFrame) -> None:
         """Remove candidates and their files, rewriting only the partitions they lie in."""
@@ -162,14 +173,44 @@ class CandidateStore:
 
     def update(self, edits: DataFrame, order: str | None = None) -> None:
         """Overwrite the supplied columns of the candidates that really change."""
-        edits = last_edits(edits.drop(*CANDIDATE_PARTITIONS), order=order)
+        edits = edits.drop(*CANDIDATE_PARTITIONS)
+        if "status" in edits.columns:  # a page shows no label for an unknown code; such an edit keeps the code
+            stored = self.read().select("id", F.col("status").alias("_stored"))
+            edits = edits.join(stored, "id", "left").withColumn("status", F.coalesce("status", "_stored")).drop("_stored")
+        # Written once: all that follows sees the same edits, also if their source changes or has no fixed order.
+        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        reduced = last_edits(edits, order=order)
+        reduced.write.parquet(staged)
+        edits = self.spark.read.schema(reduced.schema).parquet(staged)
         changed = changed_rows(self.read(), edits)  # these still carry their old partition
         gaining = self.people.labels(_placed(changed))
         hit = sorted({*self.people.labels(changed), *gaining})
         if hit:
             # An earlier update that broke off may have left a moved row in both its partitions.
-            new = update_by_id(self.people.content(hit), edits).dropDuplicates(["id"])
-            self.people.replace(_placed(new), hit, gaining)
+            ids = broadcast_if_small(changed.select("id").distinct())
+            content = self.people.content(hit)
+            new = update_by_id(content.join(ids, "id", "left_semi"), edits).dropDuplicates(["id"])
+            self.people.replace(_placed(content.join(ids, "id", "left_anti").unionByName(new)), hit, gaining)
+        self._remove(staged)
+
+    def vacuum(self) -> None:
+        """Remove folders below the root that no partition points to: replaced, emptied and staged ones.
+
+        Deleted people and files are gone from storage afterwards. Run it while nothing reads or writes the tables.
+        """
+        used = set()
+        for held in (self.people, self.files):
+            used |= {file.split("/")[-1 - len(held.partitions) - 1] for file in held.read().inputFiles()}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
+            folder = status.getPath().getName()
+            ours = any(re.fullmatch(rf"{re.escape(name)}-[0-9a-f]{{32}}", folder) for name in (self.people.name, self.files.name, "staged"))
+            if ours and folder not in used:
+                self._remove(f"{self.root}/{folder}")
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def lookup(self, candidate_id: str) -> DataFrame:
         """File, name and job of one candidate: one row or none."""

@@ -16,12 +16,15 @@ def import_stream(
 
     The candidate table is the only state, so no watermark is needed. Each
     micro-batch is its own load: if Spark repeats one after a failure, it replaces
-    its first attempt. `source` names the stream; use a new one for a new checkpoint,
-    whose batch numbers start again.
+    its first attempt. Loads are named by `source`, by the identity that Spark keeps in
+    the checkpoint, and by number, so another checkpoint never replaces them.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
-        store.insert(candidates(batch), f"{source}-{number:010d}", store_cv)
+        identity = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not identity:
+            raise RuntimeError("the stream has no identity, so its loads cannot be told from those of others")
+        store.insert(candidates(batch), f"{source}-{identity}-{number:010d}", store_cv)
 
     return (
         messages.writeStream.foreachBatch(insert)

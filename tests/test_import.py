@@ -210,3 +210,38 @@ def test_work_folder(settings, shared):
     else:
         with pytest.raises(ValueError):
             work_folder(session, "x")
+
+
+def test_two_checkpoints_of_one_source_keep_all_rows(spark, tmp_path):
+    store = CandidateStore(spark, str(tmp_path / "tables"), "twice")
+    for run in ("first", "second"):
+        folder = tmp_path / run
+        rows = [(f"application_ Tester from {run.title()} Person.msg", datetime(2024, 1, 2), "body", [], None)]
+        spark.createDataFrame(rows, MESSAGES).write.parquet(str(folder))
+        stream = spark.readStream.schema(MESSAGES).parquet(str(folder))
+        import_stream(stream, store, str(tmp_path / f"checkpoint-{run}"), source="mails").awaitTermination()
+    assert {r.name for r in store.read().collect()} == {"First Person", "Second Person"}
+
+
+def test_rows_for_unread_partitions_stop_the_switch(spark, tmp_path):
+    store = CandidateStore(spark, str(tmp_path), "guarded")
+    rows = [(f"application_ Tester from Person {c}.msg", datetime(2024, m, 2), "body", [], None) for m, c in ((1, "Anna"), (2, "Bert"))]
+    store.insert(candidates(spark.createDataFrame(rows, MESSAGES)), "load")
+    january = store.read().where("applied_month = '2024-01'")
+    with pytest.raises(RuntimeError):
+        store.people.replace(january.withColumn("applied_month", F.lit("2024-02")), store.people.labels(january))
+    assert store.read().count() == 2
+
+
+def test_vacuum_removes_deleted_people_from_storage(spark, tmp_path):
+    store = CandidateStore(spark, str(tmp_path), "gone")
+    rows = [(f"application_ Tester from Person {c}.msg", datetime(2024, 1, 2), "body", [], None) for c in ("Anna", "Bert")]
+    batch = candidates(spark.createDataFrame(rows, MESSAGES))
+    store.insert(batch, "load")
+    ids = {r.id for r in store.read().collect()}
+    store.insert(batch, "load")
+    assert {r.id for r in store.read().collect()} == ids
+    store.delete(store.read().where("name = 'Person Anna'").select("id"))
+    store.vacuum()
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
+    assert [r.name for r in stored.collect()] == ["Person Bert"] == [r.name for r in store.read().collect()]

@@ -21,7 +21,7 @@ def test_every_query_has_sql():
 def test_query_equals_sql(spark, con, folder, name):
     rows, difference = oracle.compare(spark, con, name, folder)
     assert not difference
-    assert rows > 0
+    assert rows > 0 or name == "br_nobody"
 
 
 def test_entry(spark):
