@@ -19,7 +19,8 @@ where the given domain is the likeliest.
 Main path: DataFrame functions only. Defined results: null text has no tokens and
 gets the prior as posterior; labels that are null or unmatched teach nothing;
 several labels of one document all count; repeated rows get equal rates; an empty
-table gives an empty result; without labels posteriors are even; extra columns are
+table gives an empty result; a domain without labels gets no document, so without
+any labels all belong to the first; extra columns are
 kept by `mix`, those named `_m_*` are refused.
 """
 
@@ -66,7 +67,7 @@ def ratios(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> dict[str
         tables[r.domain][r.f] += r["count"]
     total = {d: sum(t) for d, t in tables.items()}
     base = domains[0]
-    prior = {d: log((number.get(d, 0) + 1) / (number.get(base, 0) + 1)) for d in domains}
+    prior = {d: log((number[d] + 1) / (number.get(base, 0) + 1)) if d in number else -30.0 for d in domains}
     return {d: (prior[d], [log(x / total[d]) - log(y / total[base]) for x, y in zip(tables[d], tables[base], strict=True)]) for d in domains[1:]}
 
 
