@@ -44,7 +44,7 @@ GRAM = 20
 WINDOWS = LENGTH - GRAM + 1
 ROWS_BITS = 11
 SHARDS = 4
-MERGED = 1 << 18  # bytes of snippets merged at once
+MERGED = 1 << 17  # bytes of snippets merged at once
 LARGEST = np.iinfo(np.int64).max
 BLOBS = "part long, chunk long, blob binary"
 ENTRY = np.dtype([("gram", "u8"), ("snippet", "u8"), ("doc", "i8")])
@@ -116,6 +116,10 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(LARGEST).to_numpy()
 
 
+def _keys(entries: np.ndarray) -> np.ndarray:
+    return (entries["snippet"] << U(16)) ^ entries["gram"]
+
+
 def _classes(texts: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, Snippets]]]:
     """The distinct snippets of a chunk with their smallest document, and per run of texts: ids, bytes, offsets, snippets."""
     ids, runs = _ids(texts.column("doc_id")), []
@@ -124,15 +128,13 @@ def _classes(texts: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
     every = np.zeros(sum(len(r[3].start) for r in runs), ENTRY)
     for name, of in (("gram", lambda r: r[3].gram), ("snippet", lambda r: r[3].hash), ("doc", lambda r: r[0][r[3].row])):
         every[name] = np.concatenate([of(r) for r in runs]) if runs else []
-    order = np.lexsort((every["doc"], every["snippet"], every["gram"]))
-    every = every[order]
-    new = np.ones(len(every), bool)
-    new[1:] = (every["gram"][1:] != every["gram"][:-1]) | (every["snippet"][1:] != every["snippet"][:-1])
-    return every[new], runs
-
-
-def _keys(entries: np.ndarray) -> np.ndarray:
-    return (entries["snippet"] << U(16)) ^ entries["gram"]
+    keys = _keys(every)
+    order = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), np.diff(keys[order]) != 0]))
+    distinct = every[order[new]]
+    if len(new):
+        distinct["doc"] = np.minimum.reduceat(every["doc"][order], new)
+    return distinct, runs
 
 
 def count_snippets(n_parts: int):
