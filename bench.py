@@ -18,7 +18,7 @@ HEADLINE = [
     "st_total", "st_job_month", "st_calendar", "st_date_range", "br_filters", "br_search", "br_collate_eq",
     "br_page", "br_after", "br_total", "mut_insert", "mut_update", "mut_delete", "tx_email", "tx_phone",
     "tx_address", "tx_names", "tx_redact", "js_defaults", "ing_candidates", "ing_prompts", "ing_insert",
-    "ux_extract", "ing_stream", "bn_link",
+    "ux_extract", "ing_stream", "bn_link", "mut_table", "mut_files", "ing_report",
 ]
 
 

@@ -20,7 +20,7 @@ from postulant.functions.attachments import (
 )
 from postulant.functions.text import header_lines, job_from_filename, location_in, name_from_filename, title_in
 from postulant.operators.upsert import insert_if_absent
-from postulant.plans.ingest import answered, candidates, prompts
+from postulant.plans.ingest import answered, candidates, finished, import_report, keyed, prompts
 from postulant.schema import CANDIDATES, MESSAGES as MESSAGE_SCHEMA
 from postulant.session import work_folder
 from postulant.sources.candidates import CandidateStore
@@ -72,7 +72,7 @@ def file_texts(spark: SparkSession, folder: str) -> DataFrame:
         "id",
         F.when(F.col("kind") == ".pdf", join_pages("file_pages", fallback=True)).alias("pages"),
         F.when(F.col("kind").isNotNull(), join_parts("file_tables", "file_paragraphs")).alias("parts"),
-        resume_text("kind", "file_pages", "file_tables", "file_paragraphs").alias("text"),
+        resume_text("kind", "file_pages", "file_tables", "file_paragraphs", "file_fallback").alias("text"),
     )
 
 
@@ -86,18 +86,23 @@ def model_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 def new_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Insert-if-absent of the mails into a table that holds the older half of them."""
-    rows = candidates(messages(spark, folder))
+    rows = keyed(messages(spark, folder))
     recent = F.col("applied_at") >= F.lit("2024-01-02").cast(rows.schema["applied_at"].dataType)
-    return _shown(insert_if_absent(rows.where(recent), rows.where(~recent)), "filename")
+    return _shown(finished(insert_if_absent(rows.where(recent), rows.where(~recent))), "filename")
 
 
 def extraction(spark: SparkSession, folder: str) -> DataFrame:
-    """A stand-in for the model reports the length of each prompt."""
+    """A stand-in for the model reports the length of each prompt, and fails for some lengths."""
+
+    def answer(text: str) -> str | Exception:
+        if len(text) % 7 == 0:
+            return TimeoutError("no answer")
+        return json.dumps({"Expérience": len(text), "Compétences": "Spark"})
 
     def client():
-        return lambda asked: asked.map(lambda text: json.dumps({"Expérience": len(text), "Compétences": "Spark"}))
+        return lambda asked: asked.map(answer)
 
-    return normalise_answers(answered(messages(spark, folder), client).select("filename", "response"))
+    return normalise_answers(answered(messages(spark, folder), client, error="error").select("filename", "response", "error"))
 
 
 def streamed(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +114,32 @@ def streamed(spark: SparkSession, folder: str) -> DataFrame:
     ]).write.parquet(f"{place}/messages")
     store = CandidateStore(spark, place, f"candidates_{name}")
     import_stream(stream_messages(spark, f"{place}/messages"), store, f"{place}/progress", "test").awaitTermination()
-    return _shown(store.read())
+    return _last(store, _shown(store.read()), place)
+
+
+def _last(store: CandidateStore, rows: DataFrame, place: str) -> DataFrame:
+    """The rows, written beside the tables, which are then forgotten."""
+    rows.write.parquet(f"{place}/result")
+    store.drop()
+    return store.spark.read.schema(rows.schema).parquet(f"{place}/result")
+
+
+def stored_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files kept with their candidates: a load, its repetition, a delete, and the removal of what is left behind."""
+    place = work_folder(spark, "files")
+    store = CandidateStore(spark, place, "filed_" + place.rsplit("-", 1)[1])
+    for _ in range(2):
+        store.insert(candidates(messages(spark, folder)), "mails", store_cv=True)
+    store.delete(store.read().where("years_exp > 20").select("id"))
+    store.vacuum()
+    files = store.read_files().select(F.col("id").alias("file_id"), F.md5("cv").alias("cv_md5"))
+    rows = store.read().join(files, F.col("id") == F.col("file_id"), "full")
+    moment = F.date_format("applied_at", "yyyy-MM-dd HH:mm").alias("applied_at")
+    return _last(store, rows.select("job", "name", moment, "years_exp", "cv_md5"), place)
+
+
+def report(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown(import_report(candidates(messages(spark, folder))), "filename", "place", "row_class")
 
 
 QUERIES = {
@@ -123,6 +153,8 @@ QUERIES = {
     "ing_insert": new_candidates,
     "ux_extract": extraction,
     "ing_stream": streamed,
+    "ing_report": report,
+    "mut_files": stored_files,
 }
 
 # ---- SQL ---------------------------------------------------------------------
@@ -131,7 +163,7 @@ _MAILS = f"{MESSAGES}, {ANSWERS}, {HEADERS}"
 
 _CANDIDATES = f"""{_MAILS},
 read AS (SELECT *, {email_of('mail_text')} AS email, {phone_of('mail_text')} AS phone,
-                coalesce(mail_text <> '', false) AS has_text FROM mails),
+                coalesce(mail_text <> '', false) AS has_text FROM mails WHERE filename LIKE '%.msg'),
 candidates AS (
   SELECT filename, strftime(sent_at, '%Y-%m-%d %H:%M') AS applied_at, mail_job AS job, mail_name AS name,
     mail_title AS title, mail_location AS location,
@@ -154,7 +186,7 @@ _FIRST = "row_number() OVER (PARTITION BY job, name ORDER BY applied_at, filenam
 _COLUMNS = ", ".join(["applied_at", *SHOWN])
 
 _PROMPTS = f"""{_MAILS},
-named AS (SELECT *, {_NAMES} AS names, {phone_of('mail_text')} AS phone FROM mails),
+named AS (SELECT *, {_NAMES} AS names, {phone_of('mail_text')} AS phone FROM mails WHERE filename LIKE '%.msg'),
 masked AS (
   SELECT filename, CASE WHEN mail_text <> '' THEN {redacted('mail_text', 'names', 'phone')} END AS redacted FROM named)"""
 
@@ -200,8 +232,19 @@ WHERE job = '' OR name = '' OR (place = 1 AND NOT EXISTS (
   SELECT 1 FROM stored WHERE stored.job = batch.job AND stored.name = batch.name))""",
     "ing_stream": f"""WITH {_CANDIDATES}, placed AS (SELECT *, {_FIRST} AS place FROM candidates)
 SELECT {_COLUMNS} FROM placed WHERE job = '' OR name = '' OR place = 1""",
-    "ux_extract": f"""WITH {_PROMPTS}
-SELECT filename, 'N/A' AS freelance, 'N/A' AS grad_year,
-  CASE WHEN redacted IS NULL THEN -1 ELSE length('{_BEFORE}' || redacted || '{_AFTER}') END::DOUBLE AS years_exp,
-  'N/A' AS companies, CASE WHEN redacted IS NULL THEN 'N/A' ELSE 'Spark' END AS skills FROM masked""",
+    "ing_report": f"""WITH {_CANDIDATES}
+SELECT filename, row_number() OVER (PARTITION BY job ORDER BY applied_at, filename) AS place,
+  CASE WHEN freelance = 'OUI' THEN 'freelance'
+       WHEN regexp_matches(grad_year, '^[0-9]+$') AND try_cast(grad_year AS INTEGER) <= 2020 THEN 'senior' ELSE '' END AS row_class,
+  {_COLUMNS.replace('years_exp', "printf('%.1f', years_exp) AS years_exp")} FROM candidates""",
+    "mut_files": f"""WITH {_CANDIDATES}, placed AS (SELECT *, {_FIRST} AS place FROM candidates)
+SELECT p.job AS job, p.name AS name, p.applied_at AS applied_at, p.years_exp AS years_exp,
+  CASE WHEN m.attachment IN ('cv.pdf', 'cv.docx') THEN md5(m.text) END AS cv_md5
+FROM placed p JOIN mails m ON m.filename = p.filename
+WHERE (p.job = '' OR p.name = '' OR place = 1) AND coalesce(p.years_exp, 0) <= 20""",
+    "ux_extract": f"""WITH {_PROMPTS},
+asked AS (SELECT filename, length('{_BEFORE}' || redacted || '{_AFTER}') AS n FROM masked)
+SELECT filename, 'N/A' AS freelance, 'N/A' AS grad_year, CASE WHEN n % 7 <> 0 THEN n ELSE -1 END::DOUBLE AS years_exp,
+  'N/A' AS companies, CASE WHEN n % 7 <> 0 THEN 'Spark' ELSE 'N/A' END AS skills,
+  CASE WHEN n % 7 = 0 THEN 'TimeoutError: no answer' END AS error FROM asked""",
 }

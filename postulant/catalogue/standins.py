@@ -163,6 +163,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         return F.struct(
             F.lit(name).alias("name"), pages.alias("pages"), tables.alias("tables"),
             paragraphs.alias("paragraphs"), F.encode("text", "UTF-8").alias("content"),
+            F.col("source").startswith("src2").alias("fallback"),
         )
 
     pdf = file("cv.pdf", pages=lines)
@@ -214,6 +215,6 @@ HEADERS = r"""mails AS (
          THEN trim(string_split(body, chr(9) || chr(13) || chr(10))[4]) ELSE 'N/A' END AS mail_title,
     CASE WHEN len(string_split(body, chr(9) || chr(13) || chr(10))) > 4
          THEN trim(string_split(body, chr(9) || chr(13) || chr(10))[5]) ELSE 'N/A' END AS mail_location,
-    CASE attachment WHEN 'cv.pdf' THEN trim(replace(text, chr(10), ''))
+    CASE attachment WHEN 'cv.pdf' THEN trim(replace(text, chr(10), CASE WHEN source LIKE 'src2%' THEN ' ' ELSE '' END))
                     WHEN 'cv.docx' THEN trim(title || ' ' || replace(text, chr(10), ' ')) END AS mail_text
   FROM fields)"""

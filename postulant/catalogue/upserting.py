@@ -77,7 +77,10 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     store.update(edited.select("id", F.lit(3).alias("status"), later.alias("applied_at")))
     store.delete(store.read().where(F.col("years_exp") > 45).select("id"))
     day = F.date_format("applied_at", "yyyy-MM-dd").alias("applied_at")
-    return store.read().select("job", "name", "status", "years_exp", day, "applied_month", "load_id")
+    rows = store.read().select("job", "name", "status", "years_exp", day, "applied_month", "load_id")
+    rows.write.parquet(f"{place}/result")
+    store.drop()
+    return spark.read.schema(rows.schema).parquet(f"{place}/result")
 
 
 QUERIES = {

@@ -31,9 +31,12 @@ def resume_type(name: Column | str) -> Column:
     return F.when(extension.isin(*RESUME_EXTENSIONS), extension)
 
 
-def join_pages(pages: Column | str, fallback: bool = False) -> Column:
-    """Page texts without a separator, or blank-separated as the fallback reader does."""
-    return F.array_join(as_column(pages), " " if fallback else "", "")
+def join_pages(pages: Column | str, fallback: Column | str | bool = False) -> Column:
+    """Page texts without a separator, or blank-separated where the fallback reader made them."""
+    if isinstance(fallback, bool):
+        fallback = F.lit(fallback)
+    texts = as_column(pages)
+    return F.when(as_column(fallback), F.array_join(texts, " ", "")).otherwise(F.array_join(texts, "", ""))
 
 
 def join_parts(tables: Column | str, paragraphs: Column | str) -> Column:
@@ -45,7 +48,11 @@ def join_parts(tables: Column | str, paragraphs: Column | str) -> Column:
 
 
 def resume_text(
-    kind: Column | str, pages: Column | str, tables: Column | str, paragraphs: Column | str, fallback: bool = False
+    kind: Column | str,
+    pages: Column | str,
+    tables: Column | str,
+    paragraphs: Column | str,
+    fallback: Column | str | bool = False,
 ) -> Column:
     """The cleaned text of a resume of the given type; null if there is none."""
     extension = as_column(kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postulant.functions.answers import normalise_answers
@@ -19,54 +20,79 @@ from postulant.functions.text import (
     location_in,
     maskable_names,
     name_from_filename,
+    one_decimal,
+    row_class,
     title_in,
 )
 from postulant.operators.extraction import Ask, ask_model
 from postulant.schema import CANDIDATES, DEFAULT_STATUS, MESSAGES, NO_EXPERIENCE, NOT_AVAILABLE
+from postulant.sources.messages import only_mails
 
 
-def with_text(messages: DataFrame, fallback: bool = False) -> DataFrame:
+def keyed(messages: DataFrame) -> DataFrame:
+    """The mails among the messages, with the fields of their first attachment and what tells applications apart.
+
+    Only the file name is looked at, so rows that need not be imported can go before `finished` reads their texts.
+    """
+    chosen = first_attachment(only_mails(messages)).drop("attachments")
+    return chosen.withColumns({
+        "applied_at": F.col("sent_at"),
+        "job": job_from_filename("filename"),
+        "name": name_from_filename("filename"),
+    })
+
+
+def with_text(chosen: DataFrame) -> DataFrame:
     """Add `text`, which is null without a readable resume and empty without text, and `cv`.
 
     The bytes of the files are only read if `cv` is used later.
     """
-    chosen = first_attachment(messages).withColumn("_kind", resume_type("file_name"))
-    return chosen.withColumns({
-        "text": resume_text("_kind", "file_pages", "file_tables", "file_paragraphs", fallback),
+    typed = chosen.withColumn("_kind", resume_type("file_name"))
+    return typed.withColumns({
+        "text": resume_text("_kind", "file_pages", "file_tables", "file_paragraphs", "file_fallback"),
         "cv": F.when(F.col("_kind").isNotNull(), F.col("file_content")),
     })
 
 
-def prompts(messages: DataFrame, template: str = DEFAULT_PROMPT, fallback: bool = False) -> DataFrame:
-    """Add the model prompt, built from the masked resume; null where there is no text."""
-    named = with_text(messages, fallback).withColumn("names", maskable_names(name_from_filename("filename")))
+def prompts(messages: DataFrame, template: str = DEFAULT_PROMPT) -> DataFrame:
+    """Add the model prompt, built from the masked resume; null where there is no text. Only mails stay."""
+    mails = only_mails(messages)
+    named = with_text(first_attachment(mails)).withColumn("names", maskable_names(name_from_filename("filename")))
     asked = F.when(F.col("text") != "", fill_prompt("redacted", template))
     return redact(named).select(*messages.columns, asked.alias("prompt"))
 
 
 def answered(
-    messages: DataFrame, make_client: Callable[[], Ask], template: str = DEFAULT_PROMPT, fallback: bool = False
+    messages: DataFrame, make_client: Callable[[], Ask], template: str = DEFAULT_PROMPT, error: str | None = None
 ) -> DataFrame:
     """The mails with the model's answers as their `response`.
 
-    Write them before the import goes on: each new action would ask the model again.
+    A column `error`, if named, tells why a prompt has no answer. Rows with an error can be held back and
+    asked again; imported, they would stay with default fields. Write the answers before the import goes on:
+    each new action would ask the model again.
     """
-    asked = ask_model(prompts(messages, template, fallback), make_client, response="_answer")
-    return asked.withColumn("response", F.col("_answer")).select(*[field.name for field in MESSAGES.fields])
+    asked = ask_model(prompts(messages, template), make_client, response="_answer", error=error)
+    more = [error] if error else []
+    return asked.withColumn("response", F.col("_answer")).select(*[field.name for field in MESSAGES.fields], *more)
 
 
-def candidates(messages: DataFrame, fallback: bool = False) -> DataFrame:
-    """One candidate row per mail, with its `filename` and `cv`.
+def candidates(messages: DataFrame) -> DataFrame:
+    """One candidate row per mail, with its `filename` and `cv`."""
+    return finished(keyed(messages))
+
+
+def finished(chosen: DataFrame) -> DataFrame:
+    """Candidates from the rows of `keyed`.
 
     A mail with a readable resume takes contacts from the text and fields from the
     model's answer. Without attachment or text, every such field is "not available".
     """
-    staged = with_text(messages, fallback).withColumn("_lines", header_lines("body"))
+    staged = with_text(chosen).withColumn("_lines", header_lines("body"))
     read = normalise_answers(staged.select(
         "filename",
-        F.col("sent_at").alias("applied_at"),
-        job_from_filename("filename").alias("job"),
-        name_from_filename("filename").alias("name"),
+        "applied_at",
+        "job",
+        "name",
         title_in("_lines").alias("title"),
         location_in("_lines").alias("location"),
         "text",
@@ -95,3 +121,24 @@ def candidates(messages: DataFrame, fallback: bool = False) -> DataFrame:
 def import_order(rows: DataFrame) -> DataFrame:
     """Display order of an import: by job, then date; missing dates come last."""
     return rows.orderBy(F.col("job").asc_nulls_last(), F.col("applied_at").asc_nulls_last(), "filename")
+
+
+def import_report(rows: DataFrame) -> DataFrame:
+    """What an import shows of its candidates: no file, their place within the job, one decimal, a class per row.
+
+    The place follows the date, then the file name; missing dates come last. Applications of one hour are
+    ranked together and the hours by their counts, so that no task holds a whole job.
+    """
+    timed = rows.drop("cv").withColumn("_hour", F.date_trunc("hour", F.col("applied_at").cast("timestamp")))
+    hours = timed.groupBy("job", "_hour").agg(F.count("*").alias("_n"))
+    by_hour = W.partitionBy("job").orderBy(F.col("_hour").asc_nulls_last())
+    before = F.coalesce(F.sum("_n").over(by_hour.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = hours.select(F.col("job").alias("_job"), F.col("_hour").alias("_of"), before.alias("_before"))
+    within = W.partitionBy("job", "_hour").orderBy(F.col("applied_at").asc_nulls_last(), "filename")
+    ranked = timed.withColumn("_place", F.row_number().over(within))
+    same = F.col("job").eqNullSafe(F.col("_job")) & F.col("_hour").eqNullSafe(F.col("_of"))
+    placed = ranked.join(offsets, same).withColumn("place", (F.col("_before") + F.col("_place")).cast("long"))
+    return placed.withColumns({
+        "years_exp": one_decimal("years_exp"),
+        "row_class": row_class("grad_year", "freelance"),
+    }).drop("_hour", "_place", "_job", "_of", "_before")

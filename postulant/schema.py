@@ -58,6 +58,8 @@ ATTACHMENT = T.StructType([
     T.StructField("tables", T.ArrayType(T.ArrayType(T.ArrayType(_S)))),
     T.StructField("paragraphs", T.ArrayType(_S)),
     T.StructField("content", T.BinaryType()),
+    # True if the pages come from the second reader, whose pages are joined by blanks.
+    T.StructField("fallback", T.BooleanType()),
 ])
 
 # One decoded mail. `response` is the model's JSON answer, null until it is known.

@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +71,13 @@ class PartitionedTable:
 
     def content(self, labels: list[str]) -> DataFrame:
         """Rows of some partitions; the filter uses partition columns only, so others are not read."""
-        return self.read().where(self._label().isin(labels))
+        groups: dict[str, list[str]] = {}
+        for label in labels:
+            first, second = label.split("/")
+            groups.setdefault(first, []).append(second)
+        outer, inner = self.partitions
+        wanted = [(F.col(outer) == first) & F.col(inner).isin(seconds) for first, seconds in sorted(groups.items())]
+        return self.read().where(reduce(or_, wanted, F.lit(False)))
 
     def replace(self, rows: DataFrame, labels: list[str], gaining: list[str] = ()) -> None:
         """Let `rows` be the content of the given partitions and of those they lie in.
@@ -130,9 +139,18 @@ class CandidateStore:
     def read_files(self) -> DataFrame:
         return self.files.read()
 
-    def insert(self, batch: DataFrame, load_id: str, store_cv: bool = False) -> None:
+    def insert(
+        self,
+        batch: DataFrame,
+        load_id: str,
+        store_cv: bool = False,
+        finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> None:
         """Append the new rows of a batch of `plans.ingest.candidates`.
 
+        A batch of `plans.ingest.keyed` with `finished` as `finish` will do too: known
+        applications then go before any text is read. Stored files are still read with all rows.
+
         Keys count as known if another load holds them. A repeated load therefore
         never finds its own first attempt, and replaces that attempt.
         """
@@ -146,14 +164,14 @@ class CandidateStore:
         new_id, load = F.substring(F.sha2(identity, 256), 1, 32).alias("id"), F.lit(load_id).alias("load_id")
         old_files = self.files.labels(self.read_files().where(own))
         if not store_cv:
-            new = insert_if_absent(batch.drop("cv"), others)
+            new = finish(insert_if_absent(batch.drop("cv"), others)).drop("cv")
             self.people.replace(_placed(new.select("*", new_id, load)), before)
             if old_files:
                 self.files.replace(self.read_files().where(F.lit(False)), old_files)
             return
         # Writing the batch once keeps the files out of the sort and shuffle that find the new rows.
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        named = batch.select("*", new_id, load)
+        named = finish(batch).select("*", new_id, load)
         named.write.parquet(staged)
         named = self.spark.read.schema(named.schema).parquet(staged)
         self.people.replace(_placed(insert_if_absent(named.drop("cv"), others)), before)
@@ -208,6 +226,11 @@ class CandidateStore:
             if ours and folder not in used:
                 self._remove(f"{self.root}/{folder}")
 
+    def drop(self) -> None:
+        """Forget both tables; their folders below the root stay."""
+        for held in (self.people, self.files):
+            self.spark.sql(f"DROP TABLE IF EXISTS {held.name}")
+
     def _remove(self, folder: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from postulant.plans.ingest import candidates
+from postulant.plans.ingest import finished, keyed
 from postulant.sources.candidates import CandidateStore
 
 
@@ -24,7 +24,7 @@ def import_stream(
         identity = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not identity:
             raise RuntimeError("the stream has no identity, so its loads cannot be told from those of others")
-        store.insert(candidates(batch), f"{source}-{identity}-{number:010d}", store_cv)
+        store.insert(keyed(batch), f"{source}-{identity}-{number:010d}", store_cv, finish=finished)
 
     return (
         messages.writeStream.foreachBatch(insert)

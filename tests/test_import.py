@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postulant.operators.browse import BrowseSpec, browse, filtered
-from postulant.plans.ingest import candidates, import_order, prompts
-from postulant.schema import MESSAGES
+from postulant.operators.upsert import earliest_per_key
+from postulant.plans.ingest import answered, candidates, finished, import_order, import_report, keyed, prompts
+from postulant.schema import MESSAGES, NATURAL_KEY
 from postulant.session import work_folder
 from postulant.sources.candidates import CandidateStore, PartitionedTable
 from postulant.sources.messages import read_mail_files, read_messages, stream_messages
@@ -19,12 +20,13 @@ HEAD = "a\t\r\nb\t\r\nc\t\r\n Data freelance \t\r\n Lyon \t\r\n"
 
 
 def mail(filename, month=1, text="Jean Dupont jean.d@site.fr 06 12 34 56 78", response='{"Freelance":"NON"}', name="cv.pdf"):
-    files = [] if name is None else [(name, [text], None, [text], b"%PDF" + filename.encode())]
-    return (filename, datetime(2024, month, 1), HEAD, files, response)
+    files = [] if name is None else [(name, [text], None, [text], b"%PDF" + filename.encode(), None)]
+    mail_name = filename if filename.endswith(".msg") else filename + ".msg"
+    return (mail_name, datetime(2024, month, 1), HEAD, files, response)
 
 
 def named(job, name, copy=0):
-    return f"application_ {job} from {name}.msg{copy}"
+    return f"application_ {job} from {name}.msg{copy}.msg"
 
 
 @pytest.fixture()
@@ -51,7 +53,7 @@ def test_three_kinds_of_mail(spark):
         [mail("full"), mail("blank", text=" \n"), mail("none", name=None), mail("other", name="a.txt"),
          mail("silent", response=None), mail("docx", name="x.docx", text="rien")], MESSAGES,
     )
-    got = {r.filename: r for r in candidates(rows).collect()}
+    got = {r.filename.removesuffix(".msg"): r for r in candidates(rows).collect()}
     assert got["full"].email == "jean.d@site.fr" and got["full"].phone == "06 12 34 56 78"
     assert got["full"].freelance == "OUI"  # by the title
     assert (got["full"].title, got["full"].location) == ("Data freelance", "Lyon")
@@ -61,8 +63,8 @@ def test_three_kinds_of_mail(spark):
     assert got["none"].cv is None and got["blank"].cv is not None and got["other"].cv is None
     assert got["silent"].companies == "N/A" and got["silent"].years_exp == -1
     assert {r.status for r in got.values()} == {0}
-    asked = {r.filename: r.prompt for r in prompts(rows).collect()}
-    own = {r.filename: r.prompt for r in prompts(rows, "Lis : {text}").collect()}
+    asked = {r.filename.removesuffix(".msg"): r.prompt for r in prompts(rows).collect()}
+    own = {r.filename.removesuffix(".msg"): r.prompt for r in prompts(rows, "Lis : {text}").collect()}
     assert own["docx"] == "Lis : rien"
     assert asked["blank"] is None and asked["none"] is None and "[EMAIL]" in asked["full"]
 
@@ -97,7 +99,7 @@ def test_loads(spark, store):
 
 
 def test_months_are_pruned(spark, store):
-    load(spark, store, "one", *[mail(named("a", f"n{m}"), m) for m in range(1, 7)], ("x", None, HEAD, [], None))
+    load(spark, store, "one", *[mail(named("a", f"n{m}"), m) for m in range(1, 7)], ("x.msg", None, HEAD, [], None))
     assert {r.applied_month for r in store.read().collect()} == {f"2024-0{m}" for m in range(1, 7)} | {"unknown"}
     spec = BrowseSpec(days=(date(2024, 2, 1), date(2024, 3, 31)))
     rows = filtered(store.read(), spec)
@@ -245,3 +247,64 @@ def test_vacuum_removes_deleted_people_from_storage(spark, tmp_path):
     store.vacuum()
     stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
     assert [r.name for r in stored.collect()] == ["Person Bert"] == [r.name for r in store.read().collect()]
+
+
+def test_only_mails_are_imported(spark):
+    rows = spark.createDataFrame([mail("a"), ("b.eml", *mail("a")[1:]), (None, *mail("a")[1:])], MESSAGES)
+    assert [r.filename for r in candidates(rows).collect()] == [r.filename for r in prompts(rows).collect()] == ["a.msg"]
+
+
+def test_each_file_is_joined_as_its_reader_did(spark):
+    files = [[("cv.pdf", ["a@b.fr", "c"], None, None, b"", by)] for by in (None, False, True)]
+    rows = spark.createDataFrame([(f"{i}.msg", None, HEAD, f, None) for i, f in enumerate(files)], MESSAGES)
+    assert [r.prompt for r in prompts(rows, "{text}").orderBy("filename").collect()] == ["[EMAIL]", "[EMAIL]", "[EMAIL] c"]
+
+
+def test_texts_are_read_for_new_candidates_only(spark):
+    rows = spark.createDataFrame([mail(named("a", "x"))], MESSAGES)
+    new = finished(earliest_per_key(keyed(rows), NATURAL_KEY, ("applied_at", "filename")))
+    above, below = new._jdf.queryExecution().optimizedPlan().toString().split("WindowGroupLimit", 1)
+    assert "from_json" in above.lower() and "from_json" not in below.lower()
+    assert "regexp_extract_all" not in below.lower()
+
+
+def test_failed_prompts_are_told_and_asked_once_more_only_if_the_call_broke(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def client():
+        def ask(texts):
+            with log.open("a") as out:
+                out.write("x" * len(texts) + "\n")
+            return texts.map(lambda t: ValueError("quota") if "bad" in t else "{}")
+
+        return ask
+
+    rows = spark.createDataFrame([mail("a", text="good"), mail("b", text="bad"), mail("c", name=None)], MESSAGES).coalesce(1)
+    got = {r.filename: (r.response, r.error) for r in answered(rows, client, error="error").collect()}
+    assert got == {"a.msg": ("{}", None), "b.msg": (None, "ValueError: quota"), "c.msg": (None, None)}
+    assert log.read_text().replace("\n", "") == "xx"  # every prompt once
+
+
+def test_report_ranks_within_the_job(spark):
+    mails = [mail(named("a", f"n{i}", i), month) for i, month in enumerate((3, 1, 1, 2))] + [mail(named("b", "z"), 1)]
+    undated = (named("a", "late", 9), None, HEAD, [], None)
+    rows = import_report(candidates(spark.createDataFrame([*mails, undated], MESSAGES))).collect()
+    places = {r.name: r.place for r in rows}
+    assert places == {"n1": 1, "n2": 2, "n3": 3, "n0": 4, "late": 5, "z": 1}
+    assert {(r.years_exp, r.row_class) for r in rows} == {("-1.0", "freelance")} and "cv" not in rows[0]
+
+
+def test_a_repeat_without_files_removes_those_of_the_first_try(spark, store):
+    load(spark, store, "one", mail(named("a", "x")), store_cv=True)
+    assert store.read_files().count() == 1
+    load(spark, store, "one", mail(named("a", "x")))
+    assert store.read_files().count() == 0 and len(names(store)) == 1
+
+
+def test_updates_that_differ_per_run_lose_nothing(spark, store):
+    load(spark, store, "one", *[mail(named("a", f"n{m}"), m) for m in range(1, 7)])
+    ids = store.read().select("id")
+    moved = F.concat(F.lit("2024-0"), (F.floor(F.rand() * 6) + 1).cast("string"), F.lit("-02")).alias("applied_at")
+    store.update(ids.union(ids).select("id", moved))
+    assert {r.name for r in store.read().collect()} == {f"n{m}" for m in range(1, 7)}
+    assert store.read().count() == 6

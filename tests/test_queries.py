@@ -34,7 +34,7 @@ def test_entry(spark):
 PYTHON = {"ux_extract"}
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - {"ing_stream", "mut_table"}))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - {"ing_stream", "mut_table", "mut_files"}))
 def test_no_python_in_plans(spark, folder, name):
     plan = entry_points.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert any(word in plan for word in ("Python", "Pandas", "Arrow")) == (name in PYTHON)

@@ -56,7 +56,7 @@ def test_extension(spark, name, extension):
 def test_only_the_first_attachment_counts(spark, names, kind):
     from postulant.schema import MESSAGES
 
-    files = None if names is None else [(n, ["p"], None, None, b"%PDF") for n in names]
+    files = None if names is None else [(n, ["p"], None, None, b"%PDF", None) for n in names]
     df = spark.createDataFrame([("f", None, None, files, None)], MESSAGES)
     assert at.first_attachment(df).select(at.resume_type("file_name")).first()[0] == kind
 
