@@ -18,8 +18,6 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +69,12 @@ class PartitionedTable:
 
     def content(self, labels: list[str]) -> DataFrame:
         """Rows of some partitions; the filter uses partition columns only, so others are not read."""
-        groups: dict[str, list[str]] = {}
-        for label in labels:
-            first, second = label.split("/")
-            groups.setdefault(first, []).append(second)
-        outer, inner = self.partitions
-        wanted = [(F.col(outer) == first) & F.col(inner).isin(seconds) for first, seconds in sorted(groups.items())]
-        return self.read().where(reduce(or_, wanted, F.lit(False)))
+        # A metastore can evaluate the plain conditions; the label then picks the exact pairs.
+        values = [sorted(set(column)) for column in zip(*[label.split("/") for label in labels])]
+        rows = self.read().where(self._label().isin(labels))
+        for column, known in zip(self.partitions, values):
+            rows = rows.where(F.col(column).isin(known))
+        return rows
 
     def replace(self, rows: DataFrame, labels: list[str], gaining: list[str] = ()) -> None:
         """Let `rows` be the content of the given partitions and of those they lie in.
