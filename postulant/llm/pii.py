@@ -12,9 +12,9 @@ log2 P(e, t) / (P(e) P(t)) at least `LEAST_BITS`, given `LEAST_TEXTS` different
 texts with both. Disclosing terms are removed wherever they stand. Terms are runs of
 four letters or more, in lower case.
 
-Terms are counted over the whole corpus only if some stand beside an entity that
-recurs, and all counts are added up per task before they are shuffled and joined.
-Main path: DataFrame functions only.
+Once an entity recurs, terms are counted over the whole corpus, at every size alike,
+and all counts are added up per task before they are shuffled and joined. Main path:
+DataFrame functions only.
 
 Defined results: null text is empty and has no spans; repeated rows have equal
 spans; a null doc_id stays null; an empty table gives an empty result; very long
@@ -149,8 +149,6 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     per_text = together.groupBy("entity", "n_e", "term", *keys).agg(F.count("*").alias("n"))
     pairs = per_text.groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
     candidates = written(pairs.where(F.col("texts") >= LEAST_TEXTS).select("term", "n_e", "n_et"), "candidates")
-    if candidates.isEmpty():
-        return candidates.select("term")
     # Counted per task before the join: a candidate that most documents hold costs one row a task, not one a document.
     counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = F.lit(found.count()).cast("double")
