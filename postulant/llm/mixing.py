@@ -112,16 +112,24 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], floor: float, rounds:
     squares = cells.agg(*[F.sum(F.col("tokens") * x * x).alias(f"s{i}") for i, x in enumerate(p)]).first()
     steepest = sum(float(squares[f"s{i}"] or 0.0) / n / (w / n) for i, w in enumerate(wanted) if w) + PULL
     size = 1 / steepest
-    rate, now = F.lit(1.0), natural
+    slopes: list[list[float]] = []
+
+    def move(rate: Column, slope: Column) -> Column:
+        down = sum((F.get(slope, F.lit(i)) * x for i, x in enumerate(p)), F.lit(0.0))
+        return F.greatest((1 - size * PULL) * rate + size * PULL - size * down, least)
+
+    def rate_after(slopes: list[list[float]]) -> Column:
+        # Slopes are data of one expression, so every round runs the code compiled for the first.
+        return F.aggregate(F.lit(slopes), F.lit(1.0), move) if slopes else F.lit(1.0)
+
+    now = natural
     for _ in range(rounds):
         slope = [(a - w) / w if w else 0.0 for a, w in zip(now, wanted, strict=True)]
         if max(map(abs, slope), default=0.0) < 1e-3:
             break
-        moved = (1 - size * PULL) * rate + size * PULL
-        for g, x in zip(slope, p, strict=True):
-            moved = moved - (size * g) * x
-        rate = F.greatest(moved, least)
-        now = totals(rate)
+        slopes.append(slope)
+        now = totals(rate_after(slopes))
+    rate = rate_after(slopes)
     return rate, list(zip(natural, wanted, now, strict=True))
 
 
