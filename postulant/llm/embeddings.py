@@ -16,8 +16,9 @@
    their numbers are added up; else blocks of members are compared, in double
    precision, and counts leave the task. Threshold: cosine >= 0.9.
 
-Defined results: vectors that are null, zero, hold null or non-finite components or
-have another length than the longest link with nothing: n_links 0, alone, kept.
+Defined results: vectors that are null, empty, zero or hold null or non-finite
+components link with nothing: n_links 0, alone, kept. Vectors link with equally long
+ones only; the length is the first key of every order, so lengths do not mix.
 Repeated rows are copies of one vector and linked with each other. A null vec_id
 leads no component unless all its ids are null. Ties go to the smallest id. An empty
 table gives an empty result; only vec_id and embedding are read.
@@ -56,6 +57,13 @@ def _stack(raw: pa.Array) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _by_length(raw: pa.Array) -> Iterator[pa.Array]:
+    """The places of the raw vectors of each length, in order: vectors are compared with equally long ones only."""
+    sizes = np.array([len(x) for x in raw.to_pylist()])
+    for size in np.unique(sizes):
+        yield pa.array(np.flatnonzero(sizes == size))
+
+
 def read(df: DataFrame) -> DataFrame:
     """row, vec_id and the raw vector, null where it can have no links."""
 
@@ -74,20 +82,23 @@ def read(df: DataFrame) -> DataFrame:
 
 
 def ordered(nodes: DataFrame, seed: int, count: int, planes_used: int = 24) -> DataFrame:
-    """node and raw, dealt in ranges of a random order in which close vectors tend to lie side by side."""
+    """node and raw, dealt in ranges of a random order in which vectors of one length, and of them close ones, tend to lie side by side."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _stack(batch.column(1))
-            planes = np.random.default_rng(seed).standard_normal((v.shape[1], planes_used))
-            bits = (v @ planes > 0) @ (1 << np.arange(planes_used - 1, -1, -1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], ["node", "raw", "code"])
+            for places in _by_length(batch.column(1)):
+                part = batch.take(places)
+                v = _stack(part.column(1))
+                planes = np.random.default_rng(seed).standard_normal((v.shape[1], planes_used))
+                bits = (v @ planes > 0) @ (1 << np.arange(planes_used - 1, -1, -1, dtype=np.int64))
+                length = pa.array(np.full(len(v), v.shape[1]))
+                yield pa.RecordBatch.from_arrays([*part.columns, length, pa.array(bits)], ["node", "raw", "length", "code"])
 
-    coded = nodes.select("node", "raw").mapInArrow(code, "node long, raw binary, code long")
+    coded = nodes.select("node", "raw").mapInArrow(code, "node long, raw binary, length long, code long")
     n = parts(nodes, 50_000, count)
-    return coded.repartitionByRange(n, "code", "node").sortWithinPartitions("code", "node")
+    return coded.repartitionByRange(n, "length", "code", "node").sortWithinPartitions("length", "code", "node")
 
 
 def balls(nodes: DataFrame, seed: int, count: int, radius: float) -> DataFrame:
@@ -97,17 +108,19 @@ def balls(nodes: DataFrame, seed: int, count: int, radius: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                v = _stack(part.column(1))
-                near = v @ v.T
-                leader = np.full(len(v), -1)
-                for i in range(len(v)):
-                    if leader[i] < 0:
-                        leader[(leader < 0) & (near[i] >= least)] = i
-                        leader[i] = i
-                node = part.column(0).to_numpy()
-                apart = np.arccos(np.clip(near[np.arange(len(v)), leader], -1, 1)) + 1e-7 * (leader != np.arange(len(v)))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[leader]), pa.array(apart)], ["node", "leader", "angle"])
+                rows = batch.slice(at, 512)
+                for places in _by_length(rows.column(1)):
+                    part = rows.take(places)
+                    v = _stack(part.column(1))
+                    near = v @ v.T
+                    leader = np.full(len(v), -1)
+                    for i in range(len(v)):
+                        if leader[i] < 0:
+                            leader[(leader < 0) & (near[i] >= least)] = i
+                            leader[i] = i
+                    node = part.column(0).to_numpy()
+                    apart = np.arccos(np.clip(near[np.arange(len(v)), leader], -1, 1)) + 1e-7 * (leader != np.arange(len(v)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[leader]), pa.array(apart)], ["node", "leader", "angle"])
 
     planes = min(24, max(1, int(np.log2(max(2, count // 256)))))  # about half a run for each cell
     return ordered(nodes, seed, count, planes).mapInArrow(run, "node long, leader long, angle double")
@@ -137,9 +150,11 @@ def first_lists(nodes: DataFrame, seed: int, count: int, close: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, RUN // 2):  # runs overlap by half
-                part = batch.slice(at, RUN)
-                v = _stack(part.column(1))
-                yield _batch([_offers(part.column(0).to_numpy(), v @ v.T, close, NEIGHBOURS)])
+                rows = batch.slice(at, RUN)
+                for places in _by_length(rows.column(1)):
+                    part = rows.take(places)
+                    v = _stack(part.column(1))
+                    yield _batch([_offers(part.column(0).to_numpy(), v @ v.T, close, NEIGHBOURS)])
 
     return ordered(nodes, seed, count).mapInArrow(run, EDGES)
 
@@ -162,11 +177,13 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame, close: float) -> DataF
     around = lists.select(F.col("a").alias("hub"), F.col("b").alias("node")).union(reverse).distinct()
     with_vectors = around.join(nodes.select("node", "raw"), "node").select("hub", "node", "raw")
 
-    def within(rows: pa.Table) -> pa.RecordBatch:
-        hub, node = rows.column("hub").to_numpy(), rows.column("node").to_numpy()
-        v = _stack(rows.column("raw").combine_chunks())
-        new = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
-        return _batch([_offers(node[a:b], v[a:b] @ v[a:b].T, close, OFFERED) for a, b in zip(new, [*new[1:], len(hub)], strict=True) if b - a > 1])
+    def within(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for places in _by_length(table.column("raw")):  # all around a hub are as long as it
+            rows = table.take(places)
+            hub, node = rows.column("hub").to_numpy(), rows.column("node").to_numpy()
+            v = _stack(rows.column("raw").combine_chunks())
+            new = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
+            yield _batch([_offers(node[a:b], v[a:b] @ v[a:b].T, close, OFFERED) for a, b in zip(new, [*new[1:], len(hub)], strict=True) if b - a > 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
@@ -178,10 +195,10 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame, close: float) -> DataF
             hubs = rows.column("hub").to_numpy()
             start = int(np.argmax(hubs == hubs[-1]))
             if start:
-                yield within(rows.slice(0, start))
+                yield from within(rows.slice(0, start))
             carried = rows.slice(start)
         if carried is not None and carried.num_rows:
-            yield within(carried)
+            yield from within(carried)
 
     return with_vectors.repartition("hub").sortWithinPartitions("hub").mapInArrow(run, EDGES)
 
@@ -191,14 +208,18 @@ def audit(nodes: DataFrame, close: float) -> DataFrame:
     asked = nodes.orderBy(F.xxhash64("node")).limit(AUDITED).select("node", "raw").collect()  # a fixed number
     if not asked:
         return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    names, queries = np.array([r.node for r in asked]), _stack(pa.array([bytes(r.raw) for r in asked], pa.binary()))
+    names, raw = np.array([r.node for r in asked]), pa.array([bytes(r.raw) for r in asked], pa.binary())
+    queries = {v.shape[1]: (names[places.to_numpy()], v) for places in _by_length(raw) for v in [_stack(raw.take(places))]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                node = batch.column(0).to_numpy()
-                i, j = np.nonzero((queries @ _stack(batch.column(1)).T >= close) & (names[:, None] != node[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(node[j])], ["a", "b"])
+            for places in _by_length(batch.column(1)):
+                part = batch.take(places)
+                node, v = part.column(0).to_numpy(), _stack(part.column(1))
+                if v.shape[1] in queries:
+                    mine, q = queries[v.shape[1]]
+                    i, j = np.nonzero((q @ v.T >= close) & (mine[:, None] != node[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(node[j])], ["a", "b"])
 
     return nodes.select("node", "raw").mapInArrow(run, "a long, b long")
 
@@ -255,8 +276,7 @@ def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row with vec_id and embedding."""
     rows = written(read(df), "vectors")
-    longest = rows.agg(F.max(F.length("raw"))).first()[0] or 0
-    usable = rows.where(F.length("raw") == longest)
+    usable = rows.where("raw is not null")
     distinct = written(usable.groupBy("raw").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("first")), "distinct")
     count = distinct.count()
 
@@ -275,9 +295,10 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                angle = np.arccos(np.clip((_stack(batch.column(2)) * _stack(batch.column(3))).sum(1), -1, 1))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 4, 5)), pa.array(angle)], ["a", "b", "reach", "w_b", "angle"])
+            for places in _by_length(batch.column(2)):
+                part = batch.take(places)
+                angle = np.arccos(np.clip((_stack(part.column(2)) * _stack(part.column(3))).sum(1), -1, 1))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (0, 1, 4, 5)), pa.array(angle)], ["a", "b", "reach", "w_b", "angle"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b", (F.col("r_a") + F.col("r_b")).alias("reach"), "w_b")
     measured = written(both.mapInArrow(measure, "a long, b long, reach double, w_b long, angle double"), "measured")

@@ -287,6 +287,20 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    vectors = []
+    for length in (8, 16, 17):
+        centres = rng.standard_normal((4, length))
+        vectors += [(c + s * rng.standard_normal(length)).astype(np.float32).tolist() for c, s in zip(centres[rng.integers(0, 4, 40)], rng.choice([0.02, 0.2, 0.4], 40))]
+    vectors += [[*vectors[40], 0.0], [1.0] * 300]  # one component more than a copy, and a single longest vector
+    rows = list(enumerate(vectors))
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    # The brute force takes equal lengths, so each length is its own table.
+    expected = sum((brute_links([r for r in rows if len(r[1]) == n]) for n in {len(v) for v in vectors}), [])
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == sorted(expected)
+
+
 def test_toxicity_finds_the_sentence(spark):
     rng = random.Random(2)
     rows, labels = [], []
