@@ -225,6 +225,41 @@ def test_mixing_meets_targets(spark, folder):
     assert empty.columns == docs.columns and empty.count() == 0
 
 
+@pytest.mark.parametrize("shares", [(0.994, 0.003, 0.003), (0.998, 0.001, 0.001), (0.1, 0.8, 0.1), (0.4, 0.55, 0.05), (0.9, 0.05, 0.05)])
+def test_mixing_meets_targets_from_any_shares(shares):
+    pure = [(1e6 * s, [1e6 * s * (i == j) for j in range(3)], i == 0) for i, s in enumerate(shares)]
+    _, reached = mixing.fit_rates(pure, mixing.TARGETS, 1.0)
+    assert all(abs(r - w) <= 0.001 * w for _, w, r in reached)
+    # Soft posteriors, among them clean ones that hold a little of the others.
+    rng, soft = np.random.default_rng(4), []
+    for i, s in enumerate(shares):
+        for x in rng.dirichlet(np.where(np.arange(3) == i, 200.0, 0.3), 60):
+            soft.append((1e4 * s, (1e4 * s * x).tolist(), bool(x.argmax() == 0)))
+    _, reached = mixing.fit_rates(soft, mixing.TARGETS, 1.0)
+    assert all(abs(r - w) <= 0.002 * w for _, w, r in reached)
+
+
+def test_mixing_with_targets_out_of_reach():
+    numbers, reached = mixing.fit_rates([(100.0, [60.0, 40.0, 0.0], True)], mixing.TARGETS, 1.0)
+    assert all(np.isfinite(numbers)) and reached[1][2] > reached[1][1] * 1.1  # told, not hidden: the floor keeps the clean documents
+
+
+def test_mixing_meets_targets_with_floor(spark):
+    rows, labels = [], []
+    for i in range(400):
+        kind = "junk" if i % 100 == 1 else "toxic" if i % 100 == 2 else "clean"
+        rng = random.Random(i)
+        rows.append((i, " ".join(f"{kind}{rng.randint(0, 30)}" for _ in range(300))))
+        labels.append((i, int(kind != "junk"), int(kind == "toxic")))
+    docs, labelled = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known, report = mixing.fitted(docs, labelled, floor=1.0)
+    total = known.agg(*[F.sum(F.col("_m_tokens") * F.col("_m_rate") * F.col("_m_p")[i]).alias(d) for i, d in enumerate(mixing.TARGETS)]).first()
+    for domain, share in mixing.TARGETS.items():
+        assert abs(total[domain] / sum(total) - share) < 0.01 * share
+        assert abs(report[domain][2] - report[domain][1]) < 0.01 * report[domain][1]
+    assert known.where("_m_p[0] = array_max(_m_p) and _m_rate < 1").isEmpty()
+
+
 def test_mixing_without_labels_or_text(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mix(odd, labels).count() == odd.count()
