@@ -10,8 +10,13 @@
    ends take what is closer. Lists hold `NEIGHBOURS` entries, and all those close
    enough for a link of any members, so saturated lists grow. Rounds end when
    hardly any close pair is new.
-3. Audit: `AUDITED` leaders are compared with all others; below `RECALL` the lists
-   get more random orders and further rounds.
+3. Audit: beside the leaders the search gets `AUDITED` planted vectors, each just
+   within a link of one leader in a random direction, so that there are always hard,
+   isolated links to be found. Also `AUDITED` vectors (`AUDITED_MOST` if that shows
+   fewer than `ENOUGH` pairs of balls) are compared with all others, and the pairs of
+   balls that their links join are looked for. While either recall is below `RECALL`,
+   the lists get more random orders, in doubling numbers, and further rounds. If it is
+   not met after `ATTEMPTS`, the operator raises.
 4. Pairs of leaders whose balls can hold a link: if all members must be linked,
    their numbers are added up; else blocks of members are compared, in double
    precision, and counts leave the task. Threshold: cosine >= 0.9.
@@ -27,7 +32,7 @@ table gives an empty result; only vec_id and embedding are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, cos, radians
+from math import acos, cos, radians, sin
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +50,8 @@ NEIGHBOURS = 8
 OFFERED = 3  # best new neighbours that one join offers each end, beside all close ones
 ORDERS = 4
 MOST_ROUNDS = 5
-AUDITED = 256
+AUDITED, AUDITED_MOST, ENOUGH = 256, 1024, 200
+ATTEMPTS = 7  # 4, 4, 8, ... 128 orders
 RECALL = 0.98
 RUN, BLOCK = 128, 256
 
@@ -203,37 +209,63 @@ def joined_neighbours(lists: DataFrame, nodes: DataFrame, close: float) -> DataF
     return with_vectors.repartition("hub").sortWithinPartitions("hub").mapInArrow(run, EDGES)
 
 
-def audit(nodes: DataFrame, close: float) -> DataFrame:
-    """All close pairs (a, b) of `AUDITED` nodes, by comparing these with every node."""
-    asked = nodes.orderBy(F.xxhash64("node")).limit(AUDITED).select("node", "raw").collect()  # a fixed number
-    if not asked:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    names, raw = np.array([r.node for r in asked]), pa.array([bytes(r.raw) for r in asked], pa.binary())
+def planted(nodes: DataFrame) -> DataFrame:
+    """(node, raw) of a vector just within a link of each of `AUDITED` nodes; that of node x is named -1 - x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, raw = [], []
+            for node, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = _stack(pa.array([value], pa.binary()))[0]
+                if len(v) < 2:
+                    continue
+                side = np.random.default_rng(node).standard_normal(len(v))
+                side -= (side @ v) * v
+                side /= np.linalg.norm(side)
+                names.append(-1 - node)
+                raw.append((cos(0.999 * ANGLE) * v + sin(0.999 * ANGLE) * side).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(raw, pa.binary())], ["node", "raw"])
+
+    chosen = nodes.select("node", "raw").orderBy(F.xxhash64("node")).limit(AUDITED)
+    return chosen.mapInArrow(run, "node long, raw binary")
+
+
+def audit(members: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) of balls that links of `most` members join, by comparing these with every member."""
+    asked = members.orderBy(F.xxhash64("node")).limit(most).select("leader", "raw").collect()  # a fixed number
+    names, raw = np.array([r.leader for r in asked], np.int64), pa.array([bytes(r.raw) for r in asked], pa.binary())
     queries = {v.shape[1]: (names[places.to_numpy()], v) for places in _by_length(raw) for v in [_stack(raw.take(places))]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for places in _by_length(batch.column(1)):
                 part = batch.take(places)
-                node, v = part.column(0).to_numpy(), _stack(part.column(1))
+                leader, v = part.column(0).to_numpy(), _stack(part.column(1))
                 if v.shape[1] in queries:
                     mine, q = queries[v.shape[1]]
-                    i, j = np.nonzero((q @ v.T >= close) & (mine[:, None] != node[None, :]))
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(node[j])], ["a", "b"])
-
-    return nodes.select("node", "raw").mapInArrow(run, "a long, b long")
-
-
-def search(nodes: DataFrame, count: int, close: float) -> tuple[DataFrame, float]:
-    """Pairs (a, b) of nodes at least `close`, both ways round, and the audited recall."""
-    truth = written(audit(nodes, close), "audit")
-    wanted = truth.count()
-    offers, seed, recall = None, 100, 0.0
-    for _ in range(3):
-        for s in range(seed, seed + ORDERS):
-            more = first_lists(nodes, s, count, close)
-            offers = more if offers is None else offers.union(more)
-        seed += ORDERS
+                    i, j = np.nonzero((q @ v.T >= LEAST) & (mine[:, None] != leader[None, :]))
+                    found = np.unique(np.stack([mine[i], leader[j]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    return members.select("leader", "raw").mapInArrow(run, "a long, b long").distinct()
+
+
+def search(heads: DataFrame, members: DataFrame, count: int, close: float) -> tuple[DataFrame, dict[str, float]]:
+    """Pairs (a, b) of heads at least `close`, both ways round, and the audited recalls, which are met."""
+    probes = written(planted(heads), "planted")
+    nodes = written(heads.select("node", "raw").union(probes), "searched")
+    linked = written(audit(members, AUDITED), "audit")
+    if linked.count() < ENOUGH:
+        linked = written(audit(members, AUDITED_MOST), "audit")
+    truth = {"planted": probes.select((-1 - F.col("node")).alias("a"), F.col("node").alias("b")), "linked": linked}
+    wanted = {k: t.count() for k, t in truth.items()}
+    offers, seed, more = None, 100, ORDERS
+    recall = dict.fromkeys(truth, 0.0)
+    for _ in range(ATTEMPTS):
+        for s in range(seed, seed + more):
+            added = first_lists(nodes, s, count, close)
+            offers = added if offers is None else offers.union(added)
+        more, seed = seed + more - 100, seed + more  # as many again as there were
         lists = written(kept_lists(offers, close), "lists")
         known = lists.where(F.col("near") >= close).count()
         for _ in range(MOST_ROUNDS):
@@ -243,11 +275,11 @@ def search(nodes: DataFrame, count: int, close: float) -> tuple[DataFrame, float
                 break
         near = lists.where(F.col("near") >= close)
         pairs = written(near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near")
-        recall = pairs.join(truth, ["a", "b"], "left_semi").count() / wanted if wanted else 1.0
-        if recall >= RECALL:
-            break
+        recall = {k: pairs.join(t, ["a", "b"], "left_semi").count() / wanted[k] if wanted[k] else 1.0 for k, t in truth.items()}
+        if min(recall.values()) >= RECALL:
+            return pairs.where("a >= 0 and b >= 0"), recall
         offers = lists
-    return pairs, recall
+    raise ArithmeticError(f"links incomplete after {ATTEMPTS} attempts: recall {recall} of {wanted}, {RECALL} needed")
 
 
 def _compared(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -286,7 +318,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     heads = written(distinct.select("node", "raw").join(ball.select(F.col("leader").alias("node")), "node", "left_semi"), "heads")
 
     close = cos(ANGLE + 2 * (ball.agg(F.max("radius")).first()[0] or 0.0) + SURE)
-    pairs, _ = search(heads, ball.count(), close)
+    pairs, _ = search(heads, members, ball.count(), close)  # raises below RECALL
 
     def side(name: str) -> DataFrame:
         return heads.withColumnRenamed("node", name).withColumnRenamed("raw", f"raw_{name}").join(

@@ -336,6 +336,16 @@ def test_embeddings_of_several_lengths(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == sorted(expected)
 
 
+def test_embeddings_without_recall_raise(spark, monkeypatch):
+    # No two vectors are close, so only planted links can tell that the search finds nothing.
+    rows = [(i, [float(i == j) for j in range(20)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(embeddings, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(embeddings, "first_lists", lambda nodes, *_: nodes.sparkSession.createDataFrame([], embeddings.EDGES))
+    with pytest.raises(ArithmeticError):
+        embeddings.near_duplicates(df)
+
+
 def test_toxicity_finds_the_sentence(spark):
     rng = random.Random(2)
     rows, labels = [], []
