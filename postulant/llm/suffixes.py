@@ -10,8 +10,8 @@ with a smaller doc_id.
 2. Equal snippets are counted once per chunk of documents and once per gram
    partition, by hash, with their smallest document. Chunks ship hashes only, so a
    passage that a third of all documents share costs one entry per chunk.
-3. Only grams with several different snippets need their texts, one of each. In the
-   partition they form shards; every shard sorts its suffixes once into a
+3. Only grams with several different snippets need their texts, from every chunk that
+   has the smallest document of one. In the partition they form shards; every shard sorts its suffixes once into a
    Burrows-Wheeler transform. The transforms are merged by refining their interleave:
    each round sorts the interleave, stably, by the symbols before it, which orders
    all suffixes by one more symbol without comparing any. The round in which two
@@ -162,7 +162,7 @@ def judge_snippets(key: tuple, blobs: pa.Table) -> pa.Table:
     first[1:] |= entries["snippet"][1:] != entries["snippet"][:-1]
     several = np.bincount(np.cumsum(new_gram) - 1, first)[np.cumsum(new_gram) - 1] > 1
     smallest = entries["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
-    flags = np.where(entries["doc"] > smallest, SMALL, 0) | np.where(first & several, SHIP, 0)
+    flags = np.where(entries["doc"] > smallest, SMALL, 0) | np.where((entries["doc"] == smallest) & several, SHIP, 0)  # rows of one id may lie in several chunks
     told = np.flatnonzero(flags)
     found = np.zeros(len(told), [("key", "u8"), ("flags", "u1")])
     found["key"], found["flags"] = _keys(entries[told]), flags[told]

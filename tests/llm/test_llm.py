@@ -14,6 +14,7 @@ from postulant.llm import bpe, common, embeddings, minhash, mixing, pii, quality
 from postulant.llm.catalogue import all_queries, all_sql
 
 DOCS = "doc_id long, text string, lang string, source string"
+LENGTH = suffixes.LENGTH
 SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -297,6 +298,30 @@ def test_suffixes_equal_brute_force(spark):
     assert suffixes.remove_repeats(documents(spark, rows).limit(0)).count() == 0
 
 
+def brute_repeats(rows):
+    first, order, out = {}, lambda i: 1 << 60 if i is None else i, []
+    for i, text in rows:
+        for s in range(len(text) - LENGTH + 1):
+            first[text[s : s + LENGTH]] = min(first.get(text[s : s + LENGTH], 1 << 60), order(i))
+    for i, text in rows:
+        gone = {j for s in range(len(text) - LENGTH + 1) if first[text[s : s + LENGTH]] < order(i) for j in range(s, s + LENGTH)}
+        out.append((order(i), len(text), len(gone), "".join(c for j, c in enumerate(text) if j not in gone).encode()))
+    return sorted(out)
+
+
+def cut_repeats(docs):
+    return sorted((1 << 60 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffixes.remove_repeats(docs).collect())
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_suffixes_of_repeated_and_null_ids_in_several_chunks(spark, partitions):
+    passage = prose(1, 60)[:160]
+    unnamed, repeated = prose(2, 40) + passage + prose(3, 40), prose(4, 40) + passage + prose(5, 40)
+    rows = [(1, prose(6, 40) + passage + prose(7, 40))] + [(None, unnamed), (9, repeated)] * 8
+    docs = documents(spark, rows).repartition(partitions)
+    assert cut_repeats(docs) == brute_repeats(rows)
+
+
 def brute_links(rows):
     good = [(i, np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64))) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: {j for j, w in good if j != i and v @ w >= 0.9} for i, v in good}
