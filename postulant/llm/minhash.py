@@ -50,6 +50,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-5
 BLOCK = 512
+ROW = "_minhash_row"
 
 
 def sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -104,7 +105,7 @@ def signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n, d1, d2 (digests of the set) and the signature of every row; no signature for empty sets."""
+    """row, doc_id, n, d1, d2 (digests of the set) and the signature of every row of `numbered` documents; no signature for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 digests = [pa.array(_sums(flat, offsets, salt)) for salt in (0x51ED, 0xC0FFEE)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n), *digests, pa.array(values, pa.binary())], ["row", "doc_id", "n", "d1", "d2", "sig"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "row long, doc_id long, n long, d1 long, d2 long, sig binary")
 
 
@@ -315,8 +316,14 @@ def joining(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def numbered(docs: DataFrame) -> DataFrame:
+    if ROW in docs.columns:
+        raise ValueError(f"column with the name of the row key: {ROW}")
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n_shingles, component, component_id) of every row of `numbered` documents; component is null for empty sets."""
     known = written(signed(docs), "signatures")
     same = ["n", "d1", "d2"]
     classes = written(known.where("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min("doc_id").alias("first")), "classes")
@@ -333,17 +340,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     of_class = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leaders = of_class.groupBy("component").agg(F.min("first").alias("component_id"))
-    found = written(of_class.join(leaders, "component").select(*same, "component_id"), "components")
-    joined = known.select("doc_id", *same).join(found, same, "left")
-    return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept")
-    )
+    found = written(of_class.join(leaders, "component").select(*same, "component", "component_id"), "components")
+    joined = known.select("row", "doc_id", *same).join(found, same, "left")
+    return joined.select("row", "doc_id", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    leads = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return grouped(numbered(docs)).select("doc_id", "n_shingles", "component_id", leads.alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that lead their component, with the columns they came with."""
-    gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component, with the columns it came with: of the smallest doc_id, nulls last, then the first row.
+
+    Rows are told apart by a key of their own, so ids may be null, repeated or stand for several texts.
+    Rows with empty sets are alone and stay.
+    """
+    fixed = written(numbered(docs), "numbered")
+    rows = written(grouped(fixed).where("component is not null").select("row", "doc_id", "component"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    leads = written(rows.groupBy("component").agg(F.min(order)["row"].alias("lead")), "leads")
+    gone = written(rows.join(small(leads), "component").where("row <> lead").select(F.col("row").alias(ROW)), "gone")
+    return fixed.join(small(gone), ROW, "left_anti").select(*docs.columns)
 
 
 def minhash(spark: SparkSession, folder: str) -> DataFrame:

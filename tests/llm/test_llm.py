@@ -174,6 +174,13 @@ def test_minhash_large_bucket_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows)
 
 
+def test_minhash_keeps_one_row_of_each_group(spark):
+    copied, alone, unnamed = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, copied), (2, copied), (2, alone), (None, copied), (4, prose(4, 60)), (4, prose(4, 60)), (None, unnamed), (None, unnamed), (5, ""), (5, ""), (None, None)]
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep(documents(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, copied), (2, alone), (4, prose(4, 60)), (None, unnamed), (5, ""), (5, ""), (None, None)], key=str)
+
+
 def brute_pii(text):
     from postulant.llm.pii import KINDS
 
