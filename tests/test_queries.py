@@ -1,5 +1,10 @@
 """Every registered query against its SQL counterpart."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry_points
@@ -39,3 +44,21 @@ def test_no_python_in_plans(spark, folder, name):
     plan = entry_points.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert any(word in plan for word in ("Python", "Pandas", "Arrow")) == (name in PYTHON)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",), ("corpus_pipeline.py", "postulant/llm")])
+def test_import_without_the_optional_part(tmp_path, left):
+    """A copy without the training-data operators, with or without their pipeline, offers all other queries."""
+    root = Path(__file__).resolve().parent.parent
+    copied = shutil.ignore_patterns("llm", "__pycache__")
+    shutil.copytree(root / "postulant", tmp_path / "postulant", ignore=copied)
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for name in left:
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("*.py"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    said = "import __spark_entry__ as e; print(*sorted(e.queries()), len(e.queries()) == len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split() == [*sorted(all_queries()), "True"]
