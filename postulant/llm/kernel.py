@@ -87,3 +87,25 @@ def words(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[:-1] = inside[1:]
     ends = np.flatnonzero(inside & (~after | border[1:])) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def vocabulary(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of a slice as numbers: number of each word, the rows' borders among the words, distinct words by number.
+
+    `inside` tells for each byte value whether it belongs to words, `fold` maps bytes (to lower case, say).
+    Words are compared as byte strings, not as hashes.
+    """
+    within = inside[data]
+    starts, ends, _ = words(within, offsets)
+    packed = data[within] if fold is None else fold[data[within]]
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=places[1:])
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(packed)]).dictionary_encode()
+    return found.indices.to_numpy(), np.searchsorted(starts, offsets), found.dictionary
+
+
+def bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an array of large binary values without nulls."""
+    raw = strings.buffers()[2]
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offsets
