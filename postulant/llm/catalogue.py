@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postulant.llm import bpe, embeddings, minhash, mixing, periods, pii, quality_classifier, quality_rules, suffixes, toxicity, warc
+from postulant.llm import bpe, embeddings, lexical, minhash, mixing, periods, pii, quality_classifier, quality_rules, suffixes, token_files, toxicity, warc
 
-MODULES = (embeddings, warc, quality_rules, quality_classifier, pii, mixing, bpe, suffixes, minhash, toxicity, periods)
+MODULES = (embeddings, warc, quality_rules, quality_classifier, pii, mixing, bpe, suffixes, minhash, toxicity, periods, token_files, lexical)
 
 
 def all_queries() -> dict:
