@@ -21,9 +21,10 @@ ascending order by partition and file number. A block is
 with all numbers little-endian. Spark's own writer commits the files, so a lost task
 leaves nothing behind. A document never spans blocks.
 
-Words are separated before encoding at white space of ASCII, which the tokenizer drops
-itself, and each distinct word is encoded once and remembered within bounds: a task
-compares words as bytes. Strings of special tokens in a text are ordinary text.
+Texts are cut into pieces before encoding, where the tokenizer separates them itself (see
+`pieces`), and each distinct piece is encoded once and remembered within bounds: a task
+compares pieces as bytes. The cuts hold for tokenizers that drop white space, ignore case and
+match letters, single digits and other characters apart, as the vocabulary used here. Strings of special tokens in a text are ordinary text.
 
 Defined results: a null or empty text has the end id only. Rows without doc_id follow all
 others. Rows with one doc_id are ordered by a hash of the text; they are dealt by row too,
@@ -42,12 +43,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postulant.llm.common import small, table, written
-from postulant.llm.kernel import SPACES, slices, vocabulary
+from postulant.llm.kernel import LOWER, SPACES, bytes_of, slices
 from postulant.session import work_folder
 
 MAGIC = b"TID1"
@@ -57,6 +59,10 @@ BLOCK_IDS = 1 << 21
 FILE_BLOCKS = 4
 # Ids that a task remembers for words it has met, before it starts afresh.
 REMEMBERED = 1 << 22
+# Different pieces that a task counts before it passes the counts on.
+COUNTED = 1 << 20
+# Bytes of text that a task works on at once.
+SLICE = 1 << 23
 
 # Lengths of the four ids that each control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -72,51 +78,128 @@ def tokenizer(path: str):
     return made
 
 
+@lru_cache(maxsize=2)
+def letters_only(path: str):
+    """The tokenizer's model alone, for texts of lower-case ASCII words, which its other steps leave as they are."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    made = Tokenizer(tokenizer(path).model)
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return made
+
+
+# Classes of bytes: white space, ASCII letters, digits, other ASCII, all else.
+BLANK, LETTER, DIGIT, MARK, HIGH = range(5)
+CLASSES = np.full(256, MARK, np.uint8)
+CLASSES[SPACES] = BLANK
+CLASSES[65:91] = CLASSES[97:123] = LETTER
+CLASSES[48:58] = DIGIT
+CLASSES[128:] = HIGH
+SMALL_LETTERS = np.zeros(256, bool)
+SMALL_LETTERS[97:123] = True
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The pieces of texts as numbers, the rows' borders among them, and the distinct pieces, ASCII in lower case.
+
+    Texts are cut at white space, and between two ASCII characters where letters, digits
+    and other characters meet, and between digits: the tokenizer never matches across
+    those. An apostrophe before a letter may begin a contraction and is not cut off.
+    """
+    kind = CLASSES[data]
+    inside = kind != BLANK
+    left, right = kind[:-1], kind[1:]
+    apart = (left != HIGH) & (right != HIGH) & ((left != right) | (left == DIGIT)) & ~((data[:-1] == 39) & (right == LETTER))
+    opens = np.ones(len(data) + 1, bool)
+    opens[1:-1] = apart | (left == BLANK)
+    opens[offsets] = True
+    starts = np.flatnonzero(inside & opens[:-1])
+    closes = inside.copy()
+    closes[:-1] &= opens[1:-1] | ~inside[1:]
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(np.flatnonzero(closes) + 1 - starts, out=places[1:])
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(LOWER[data[inside]])]).dictionary_encode()
+    return found.indices.to_numpy(), np.searchsorted(starts, offsets), found.dictionary
+
+
+# Stands for the end of a document among the pieces; no UTF-8 text has these bytes.
+END = b"\xff\xff"
+
+
+def ids_of(distinct: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each piece, all ids)."""
+    data, offsets = bytes_of(distinct)
+    sizes = np.diff(offsets)
+    small = np.diff(np.concatenate([[0], np.cumsum(SMALL_LETTERS[data])])[offsets]) == sizes
+    plain, other = np.flatnonzero(small), np.flatnonzero(~small)
+    found = letters_only(path).encode(b" ".join(distinct.take(pa.array(plain)).to_pylist()).decode(), add_special_tokens=False)
+    words = [w.decode("utf-8", "replace") for w in distinct.take(pa.array(other)).to_pylist()]
+    rest = [[end] if w == END else x.ids for w, x in zip(distinct.take(pa.array(other)).to_pylist(), tokenizer(path).encode_batch_fast(words, add_special_tokens=False), strict=True)]
+    lengths = np.zeros(len(distinct), np.int64)
+    lengths[plain] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
+    lengths[other] = [len(x) for x in rest]
+    starts = np.cumsum(lengths) - lengths
+    ids = np.empty(int(lengths.sum()), np.int32)
+    ids[spread(starts[plain], lengths[plain])] = found.ids
+    ids[spread(starts[other], lengths[other])] = np.fromiter((i for x in rest for i in x), np.int32, int(lengths[other].sum()))
+    return lengths, ids
+
+
+class Known:
+    """Pieces that a task has met, by number; number 0 is the end of a document."""
+
+    def __init__(self) -> None:
+        self.pieces = pa.array([END], pa.large_binary())
+
+    def numbers(self, distinct: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The numbers of pieces, and the pieces that are new and have got the next ones."""
+        at = pc.index_in(distinct, value_set=self.pieces)
+        new = distinct.filter(at.is_null())
+        found = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found[found < 0] = len(self.pieces) + np.arange(len(new))
+        if len(new):
+            self.pieces = pa.concat_arrays([self.pieces, new])
+        return found, new
+
+
 class Words:
-    """The ids of distinct words, remembered by a task."""
+    """The ids of pieces, remembered by a task."""
 
-    def __init__(self, path: str):
-        self.made = tokenizer(path)
+    def __init__(self, path: str, end: int):
+        self.path, self.end = path, end
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.known = Known()
+        self.starts, self.ids = np.array([0, 1]), np.array([self.end], np.int32)
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words; `starts` and `ids` hold the ids by these numbers."""
+    def learn(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of the pieces; `starts` and `ids` hold the ids by these numbers."""
         if len(self.ids) > REMEMBERED:
             self.forget()
-        new = [w for w in words if w not in self.places]
-        if new:
-            found = [x.ids for x in self.made.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        numbers, new = self.known.numbers(distinct)
+        if len(new):
+            lengths, ids = ids_of(new, self.path, self.end)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+            self.ids = np.concatenate([self.ids, ids])
+        return numbers
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each of many pieces, one after the other."""
+    """start, start + 1, ... of each of many stretches, one after the other."""
     before = np.cumsum(sizes) - sizes
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-def encoded(texts: pa.Array, known: Words, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, known: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of ids of each document, all ids) of runs of rows, each document with its end id."""
-    for _, _, data, offsets in slices(texts, 1 << 23):
-        codes, borders, distinct = vocabulary(data, offsets, ~SPACES)
-        numbers = known.learn(distinct.to_pylist())[codes]
+    for _, _, data, offsets in slices(texts, SLICE):
+        codes, borders, distinct = pieces(data, offsets)
+        numbers = np.insert(known.learn(distinct)[codes], borders[1:], 0)
         starts = known.starts[numbers]
         sizes = known.starts[numbers + 1] - starts
         total = np.concatenate([[0], np.cumsum(sizes)])
-        lengths = np.diff(total[borders])
-        # Words leave a gap for the end id behind each document's last word.
-        ids = np.full(int(lengths.sum()) + len(lengths), end, np.int32)
-        places = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)
-        ids[places] = known.ids[spread(starts, sizes)]
-        yield lengths + 1, ids
+        yield np.diff(total[borders + np.arange(len(borders))]), known.ids[spread(starts, sizes)]
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -169,19 +252,37 @@ def blocks(content: bytes | memoryview) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def rank_by_frequency(docs: DataFrame, path: str, end: int) -> np.ndarray:
-    """Ids by falling frequency in the whole table, then the unused ones; as long as the vocabulary."""
+    """Ids by falling frequency in the whole table, then the unused ones; as long as the vocabulary.
+
+    Pieces are counted first, per task and then over all, so each is encoded once for the whole table.
+    """
     size = max(tokenizer(path).get_vocab_size(with_added_tokens=True), end + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Words(path), np.zeros(size, np.int64)
+        known, held = Known(), np.zeros(1, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0), SLICE):
+                codes, _, distinct = pieces(data, offsets)
+                numbers, new = known.numbers(distinct)
+                held = np.concatenate([held, np.zeros(len(new), np.int64)])
+                held[numbers] += np.bincount(codes, minlength=len(distinct))
+                held[0] += len(offsets) - 1
+                if len(held) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([known.pieces.cast(pa.binary()), pa.array(held)], ["piece", "n"])
+                    known, held = Known(), np.zeros(1, np.int64)
+        yield pa.RecordBatch.from_arrays([known.pieces.cast(pa.binary()), pa.array(held)], ["piece", "n"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for _, ids in encoded(batch.column(0), known, end):
-                total += np.bincount(ids, minlength=size)
+            lengths, ids = ids_of(batch.column(0).cast(pa.large_binary()), path, end)
+            np.add.at(total, ids, np.repeat(batch.column(1).to_numpy(), lengths))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
+    distinct = docs.select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     # One row per id of the vocabulary reaches the driver, whatever the table's size.
-    counted = docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = distinct.mapInArrow(weigh, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(size, np.int64)
     for row in counted:
         total[row["id"]] = row["n"]
@@ -198,7 +299,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int) -> None:
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(path)
+        known = Words(path, end)
         names, lengths, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -208,7 +309,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int) -> None:
 
         for batch in batches:
             ids_of_rows, done = batch.column(0).to_pylist(), 0
-            for sizes, ids in encoded(batch.column(1), known, end):
+            for sizes, ids in encoded(batch.column(1), known):
                 found, at = ranks[ids], np.concatenate([[0], np.cumsum(sizes)])
                 first = 0
                 while first < len(sizes):

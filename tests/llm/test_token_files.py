@@ -46,19 +46,19 @@ def test_blocks_round_trip():
 
 def test_words_alone_encode_as_whole_texts():
     rng = random.Random(3)
-    alphabet = ["a", "B", "é", "é", "́", "Σ", "ς", "İ", "ß", "1", "23", "'s", "'LL", "!", "?!", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", " ", " ", "　", "中", "😀", "\x00", "<|endoftext|>", "x"]
-    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(5000)]
+    alphabet = ["a", "B", "é", "é", "́", "Σ", "ς", "İ", "ß", "1", "23", "'", "'T", "re", "ve", "«", ".”", "…", "½", "٣", "\u0301", "K", "ſ", "ǅ", "'s", "'LL", "!", "?!", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", " ", " ", "　", "中", "😀", "\x00", "<|endoftext|>", "x"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(20000)]
     found = []
-    for sizes, ids in token_files.encoded(pa.array(texts), token_files.Words(PATH), 1):
+    for sizes, ids in token_files.encoded(pa.array(texts), token_files.Words(PATH, 1)):
         found += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert found == library_ids(texts)
 
 
 def test_a_task_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 50)
-    known, texts = token_files.Words(PATH), [f"word{i} other{i % 7}" for i in range(200)]
+    known, texts = token_files.Words(PATH, 1), [f"word{i} other{i % 7}" for i in range(200)]
     for _ in range(3):
-        found = [x.tolist() for sizes, ids in token_files.encoded(pa.array(texts), known, 1) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        found = [x.tolist() for sizes, ids in token_files.encoded(pa.array(texts), known) for x in np.split(ids, np.cumsum(sizes)[:-1])]
         assert found == library_ids(texts)
 
 
