@@ -24,7 +24,7 @@ leaves nothing behind. A document never spans blocks.
 Texts are cut into pieces before encoding, where the tokenizer separates them itself (see
 `pieces`), and each distinct piece is encoded once and remembered within bounds: a task
 compares pieces as bytes. The cuts hold for tokenizers that drop white space, ignore case and
-match letters, single digits and other characters apart, as the vocabulary used here. Strings of special tokens in a text are ordinary text.
+match letters, single digits and other characters apart, and mark the ends of words, as the one used here. Strings of special tokens in a text are ordinary text.
 
 Defined results: a null or empty text has the end id only. Rows without doc_id follow all
 others. Rows with one doc_id are ordered by a hash of the text; they are dealt by row too,
@@ -36,10 +36,12 @@ no blocks and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postulant.llm.common import small, table, written
-from postulant.llm.kernel import LOWER, SPACES, bytes_of, slices
+from postulant.llm.kernel import LOWER, SPACES, slices
 from postulant.session import work_folder
 
 MAGIC = b"TID1"
@@ -61,6 +63,8 @@ FILE_BLOCKS = 4
 REMEMBERED = 1 << 22
 # Different pieces that a task counts before it passes the counts on.
 COUNTED = 1 << 20
+# Words encoded in one call.
+TOGETHER = 200
 # Bytes of text that a task works on at once.
 SLICE = 1 << 23
 
@@ -80,14 +84,24 @@ def tokenizer(path: str):
 
 @lru_cache(maxsize=2)
 def letters_only(path: str):
-    """The tokenizer's model alone, for texts of lower-case ASCII words, which its other steps leave as they are."""
+    """The tokenizer's model alone, for words of lower-case `LATIN` letters: its other steps leave these as they are and take each as one match."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     made = Tokenizer(tokenizer(path).model)
-    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made
 
 
+@lru_cache(maxsize=2)
+def word_ends(path: str) -> np.ndarray:
+    """For each id whether its token ends a word; every word has one such token, its last."""
+    made = tokenizer(path)
+    out = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in made.get_vocab(with_added_tokens=True).items():
+        out[i] = token.endswith(made.model.end_of_word_suffix)
+    return out
+
+
 # Classes of bytes: white space, ASCII letters, digits, other ASCII, all else.
 BLANK, LETTER, DIGIT, MARK, HIGH = range(5)
 CLASSES = np.full(256, MARK, np.uint8)
@@ -95,8 +109,8 @@ CLASSES[SPACES] = BLANK
 CLASSES[65:91] = CLASSES[97:123] = LETTER
 CLASSES[48:58] = DIGIT
 CLASSES[128:] = HIGH
-SMALL_LETTERS = np.zeros(256, bool)
-SMALL_LETTERS[97:123] = True
+# Letters without combining marks, each with one lower-case form of its own: U+00C0 to U+024F but for two signs and the dotted I.
+LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -128,19 +142,22 @@ END = b"\xff\xff"
 
 def ids_of(distinct: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of ids of each piece, all ids)."""
-    data, offsets = bytes_of(distinct)
-    sizes = np.diff(offsets)
-    small = np.diff(np.concatenate([[0], np.cumsum(SMALL_LETTERS[data])])[offsets]) == sizes
+    raw = distinct.to_pylist()
+    words = [w.decode("utf-8", "replace") for w in raw]
+    small = np.fromiter((LATIN.fullmatch(w) is not None for w in words), bool, len(words))
     plain, other = np.flatnonzero(small), np.flatnonzero(~small)
-    found = letters_only(path).encode(b" ".join(distinct.take(pa.array(plain)).to_pylist()).decode(), add_special_tokens=False)
-    words = [w.decode("utf-8", "replace") for w in distinct.take(pa.array(other)).to_pylist()]
-    rest = [[end] if w == END else x.ids for w, x in zip(distinct.take(pa.array(other)).to_pylist(), tokenizer(path).encode_batch_fast(words, add_special_tokens=False), strict=True)]
+    lower = [words[i].lower() for i in plain]
+    lines = [" ".join(lower[i : i + TOGETHER]) for i in range(0, len(lower), TOGETHER)]
+    found = letters_only(path).encode_batch_fast(lines, add_special_tokens=False)
+    plain_ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.int32)
+    encoded_ = tokenizer(path).encode_batch_fast([words[i] for i in other], add_special_tokens=False)
+    rest = [[end] if raw[i] == END else x.ids for i, x in zip(other, encoded_, strict=True)]
     lengths = np.zeros(len(distinct), np.int64)
-    lengths[plain] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(plain))
+    lengths[plain] = np.diff(np.flatnonzero(word_ends(path)[plain_ids]) + 1, prepend=0)
     lengths[other] = [len(x) for x in rest]
     starts = np.cumsum(lengths) - lengths
     ids = np.empty(int(lengths.sum()), np.int32)
-    ids[spread(starts[plain], lengths[plain])] = found.ids
+    ids[spread(starts[plain], lengths[plain])] = plain_ids
     ids[spread(starts[other], lengths[other])] = np.fromiter((i for x in rest for i in x), np.int32, int(lengths[other].sum()))
     return lengths, ids
 

@@ -54,6 +54,13 @@ def test_words_alone_encode_as_whole_texts():
     assert found == library_ids(texts)
 
 
+def test_every_letter_of_the_short_way_encodes_as_in_a_whole_text():
+    letters = [c for c in map(chr, range(0x41, 0x250)) if token_files.LATIN.fullmatch(c.lower()) or token_files.LATIN.fullmatch(c)]
+    texts = [f"x{c}y {c} {c}{c}z" for c in letters]
+    found = [x.tolist() for sizes, ids in token_files.encoded(pa.array(texts), token_files.Words(PATH, 1)) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert len(letters) > 400 and found == library_ids(texts)
+
+
 def test_a_task_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 50)
     known, texts = token_files.Words(PATH, 1), [f"word{i} other{i % 7}" for i in range(200)]
