@@ -40,8 +40,13 @@ class BrowseSpec:
     page_size: int = PAGE_SIZE
 
 
+def collated(text: Column) -> Column:
+    """A text as it is compared and sorted."""
+    return F.collate(text, COLLATION)
+
+
 def loosely_equal(column: str, value: str) -> Column:
-    return F.collate(F.col(column), COLLATION) == F.lit(value)
+    return collated(F.col(column)) == F.lit(value)
 
 
 def matches(column: str, pattern: str) -> Column:
@@ -80,7 +85,7 @@ def filtered(df: DataFrame, spec: BrowseSpec) -> DataFrame:
 
 def _sort_key(df: DataFrame, column: str) -> Column:
     is_text = isinstance(df.schema[column].dataType, T.StringType)
-    return F.collate(F.col(column), COLLATION) if is_text else F.col(column)
+    return collated(F.col(column)) if is_text else F.col(column)
 
 
 def ordering(df: DataFrame, sort: tuple[tuple[str, bool], ...]) -> list[Column]:

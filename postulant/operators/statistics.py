@@ -62,3 +62,30 @@ def count_by_every_period(df: DataFrame) -> DataFrame:
 def listed_jobs(df: DataFrame) -> DataFrame:
     """Distinct jobs, sorted, without null."""
     return df.where(F.col("job").isNotNull()).select("job").distinct().orderBy("job")
+
+
+# ---- Maintained counts: (job, day, n) rows, as `CandidateStore.counts` keeps them; they are only added up. ----
+
+
+def filter_counts(counts: DataFrame, job: str = ALL, days: tuple[date, ...] = ()) -> DataFrame:
+    """Exact job and closed range of days. Counts know days only, so the last second of a day belongs to it."""
+    kept = counts if job == ALL else counts.where(F.col("job") == job)
+    return kept if len(days) != 2 else kept.where(F.col("day").between(*[F.lit(day) for day in days]))
+
+
+def merged_by_job(counts: DataFrame) -> DataFrame:
+    """Applications per job, most first."""
+    merged = counts.where(F.col("job").isNotNull()).groupBy("job").agg(F.sum("n").alias("n"))
+    return merged.orderBy(F.desc("n"), "job")
+
+
+def merged_by_job_and_period(counts: DataFrame, period: str) -> DataFrame:
+    dated = counts.where(F.col("job").isNotNull() & F.col("day").isNotNull())
+    merged = dated.groupBy("job", period_start("day", period).alias("start")).agg(F.sum("n").alias("n"))
+    return merged.select("job", period_label("start", period).alias(period), "n").orderBy("job", period)
+
+
+def merged_by_period(counts: DataFrame, period: str) -> DataFrame:
+    dated = counts.where(F.col("day").isNotNull())
+    merged = dated.groupBy(period_start("day", period).alias("start")).agg(F.sum("n").alias("n"))
+    return merged.select(period_label("start", period).alias(period), "n").orderBy(period)

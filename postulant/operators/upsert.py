@@ -79,7 +79,18 @@ def insert_if_absent(
     they cannot pile up in one task either.
     """
     keyed = batch.where(has_key(batch, keys))
-    fresh = earliest_per_key(keyed, keys, order).join(known_keys(keyed, existing, keys), list(keys), "left_anti")
+    return absent_rows(batch, known_keys(keyed, existing, keys), keys, order)
+
+
+def absent_rows(
+    batch: DataFrame,
+    known: DataFrame,
+    keys: Sequence[str] = NATURAL_KEY,
+    order: Sequence[str] = ("applied_at", "filename"),
+) -> DataFrame:
+    """The rows of `insert_if_absent`, given the keys among the batch's that the table has."""
+    keyed = batch.where(has_key(batch, keys))
+    fresh = earliest_per_key(keyed, keys, order).join(known, list(keys), "left_anti")
     return fresh.unionByName(batch.where(~has_key(batch, keys)))
 
 

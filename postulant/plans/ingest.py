@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postulant.functions.answers import normalise_answers
@@ -25,6 +24,7 @@ from postulant.functions.text import (
     title_in,
 )
 from postulant.operators.extraction import Ask, ask_model
+from postulant.operators.ranges import SortKey, rank_within
 from postulant.schema import CANDIDATES, DEFAULT_STATUS, MESSAGES, NO_EXPERIENCE, NOT_AVAILABLE
 from postulant.sources.messages import only_mails
 
@@ -126,19 +126,12 @@ def import_order(rows: DataFrame) -> DataFrame:
 def import_report(rows: DataFrame) -> DataFrame:
     """What an import shows of its candidates: no file, their place within the job, one decimal, a class per row.
 
-    The place follows the date, then the file name; missing dates come last. Applications of one hour are
-    ranked together and the hours by their counts, so that no task holds a whole job.
+    The place follows the date, then the file name; missing dates come last. Rows are ranked within ranges of
+    that order, so that neither a large job nor many applications of one moment fill a task.
     """
-    timed = rows.drop("cv").withColumn("_hour", F.date_trunc("hour", F.col("applied_at").cast("timestamp")))
-    hours = timed.groupBy("job", "_hour").agg(F.count("*").alias("_n"))
-    by_hour = W.partitionBy("job").orderBy(F.col("_hour").asc_nulls_last())
-    before = F.coalesce(F.sum("_n").over(by_hour.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = hours.select(F.col("job").alias("_job"), F.col("_hour").alias("_of"), before.alias("_before"))
-    within = W.partitionBy("job", "_hour").orderBy(F.col("applied_at").asc_nulls_last(), "filename")
-    ranked = timed.withColumn("_place", F.row_number().over(within))
-    same = F.col("job").eqNullSafe(F.col("_job")) & F.col("_hour").eqNullSafe(F.col("_of"))
-    placed = ranked.join(offsets, same).withColumn("place", (F.col("_before") + F.col("_place")).cast("long"))
+    keys = [SortKey("applied_at", nulls_first=False), SortKey("filename")]
+    placed = rank_within(rows.drop("cv"), "job", keys, identity=["filename"])
     return placed.withColumns({
         "years_exp": one_decimal("years_exp"),
         "row_class": row_class("grad_year", "freelance"),
-    }).drop("_hour", "_place", "_job", "_of", "_before")
+    })

@@ -3,7 +3,8 @@
 from pyspark.sql import types as T
 
 UNKNOWN_MONTH = "unknown"
-CANDIDATE_PARTITIONS = ("applied_month", "load_id")
+# A segment holds the rows of one load, or of several closed ones.
+CANDIDATE_PARTITIONS = ("applied_month", "segment")
 CV_PARTITIONS = ("load_id", "id_prefix")
 # The pair that decides whether an application is already in the table.
 NATURAL_KEY = ("job", "name")
@@ -88,6 +89,9 @@ CANDIDATES = T.StructType([
     T.StructField("id", _S),
 ])
 
+# What the table holds of a candidate: the load it came with, too.
+STORED = T.StructType([*CANDIDATES.fields, T.StructField("load_id", _S)])
+
 CANDIDATE_CV = T.StructType([
     T.StructField("id", _S),
     T.StructField("cv", T.BinaryType()),

@@ -7,37 +7,59 @@ that fails before the switch leaves the table as it was. The switch goes partiti
 by partition: if it breaks off, repeating the same call completes it. One writer
 at a time. The folders of replaced partitions stay until `CandidateStore.vacuum`.
 
-`applied_month` lets date ranges read only their months; `load_id` lets a
-repeated load replace its own rows and nothing else; `id_prefix` keeps a look-up
-or delete from touching all files of a load.
+`applied_month` lets date ranges read only their months; `segment` holds the rows of
+one load, so that a repeated load replaces its own rows and nothing else, until
+`CandidateStore.compact` packs the segments of closed loads together; `id_prefix` keeps
+a look-up or delete from touching all files of a load.
+
+Beside the tables lie an index of natural keys (`sources.keys`), counts by job and day for
+each partition, which every change renews for the partitions it touches, and the list of
+finished and of closed loads.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postulant.functions.dates import calendar_part
-from postulant.operators.browse import lookup
+from postulant.operators.browse import BrowseSpec, lookup, loosely_equal
+from postulant.operators.saving import CONFLICT, GONE, three_way, to_store
 from postulant.operators.upsert import (
+    absent_rows,
     broadcast_if_small,
     changed_rows,
     delete_by_id,
-    insert_if_absent,
+    has_key,
     last_edits,
     update_by_id,
 )
-from postulant.schema import CANDIDATE_CV, CANDIDATE_PARTITIONS, CANDIDATES, CV_PARTITIONS, UNKNOWN_MONTH
+from postulant.schema import ALL, CANDIDATE_CV, CANDIDATE_PARTITIONS, CANDIDATES, CV_PARTITIONS, NATURAL_KEY, STORED, UNKNOWN_MONTH
+from postulant.sources.files import few_rows, listed, remove
+from postulant.sources.keys import KeyIndex
 
 
 # What tells the mails of one load apart.
 IDENTITY = ("filename", "applied_at", "job", "name")
+# Partitions that are pointed elsewhere at the same time.
+SWITCHES = 8
+# Hits of the key index up to this number are looked up by plain ids, which file filters understand.
+LISTED_IDS = 1000
+# Spellings of one job, up to which they are pushed to the scan.
+MANY_SPELLINGS = 1000
+COUNTS = "job string, day date, n long, applied_month string, segment string"
+LOADS = "load_id string, finished_at timestamp"
+MERGED = "merged-"  # names of segments that hold several loads
 
 
 @dataclass(frozen=True)
@@ -47,6 +69,7 @@ class PartitionedTable:
     root: str
     schema: T.StructType
     partitions: tuple[str, ...]
+    sorted_by: tuple[str, ...] = ()
 
     def _stored(self) -> T.StructType:
         return T.StructType(self.schema.fields + [T.StructField(p, T.StringType()) for p in self.partitions])
@@ -76,22 +99,31 @@ class PartitionedTable:
             rows = rows.where(F.col(column).isin(known))
         return rows
 
-    def replace(self, rows: DataFrame, labels: list[str], gaining: list[str] = ()) -> None:
-        """Let `rows` be the content of the given partitions and of those they lie in.
+    def replace(self, rows: DataFrame, labels: list[str], gaining: Iterable[str] = ()) -> list[str]:
+        """Let `rows` be the content of the given partitions and of those they lie in; all partitions that changed.
 
         Partitions that gain rows from others switch first, so that no row is ever missing.
         """
+        return self.switch(self.stage(rows), labels, gaining)
+
+    def stage(self, rows: DataFrame) -> str:
+        """Write rows to a new folder, which no partition points to yet."""
         folder = f"{self.root}/{self.name}-{uuid.uuid4().hex}"
         kept = rows.select(*[f.name for f in self.schema.fields], *self.partitions)
         # Few files per folder: rows of a folder meet, and AQE splits what grows too large.
         balanced = kept.hint("rebalance", *[F.col(p) for p in self.partitions])
-        (
-            balanced.write.partitionBy(*self.partitions)
-            .option("parquet.bloom.filter.enabled#id", "true")  # look-ups skip files without the id
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(folder)
-        )
-        filled = set(self.labels(self.spark.read.schema(self._stored()).parquet(folder)))
+        writer = balanced.sortWithinPartitions(*self.partitions, *self.sorted_by).write.partitionBy(*self.partitions)
+        for column in ("id", *self.sorted_by):  # look-ups skip files without the value
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(folder)
+        return folder
+
+    def staged(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(self._stored()).parquet(folder)
+
+    def switch(self, folder: str, labels: list[str], gaining: Iterable[str] = ()) -> list[str]:
+        """Point the given partitions, and those the folder has rows for, to its content; all partitions that changed."""
+        filled = set(self.labels(self.staged(folder)))
         known = {self._from_path(row[0]) for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
         foreign = filled & known - {*labels}
         if foreign:
@@ -99,11 +131,19 @@ class PartitionedTable:
         added = [f"{self._spec(label)} LOCATION '{folder}/{self._path(label)}'" for label in sorted(filled - known)]
         if added:
             self._alter("ADD IF NOT EXISTS " + " ".join(added))
-        for label in sorted(filled & known, key=lambda label: (label not in gaining, label)):
-            self._alter(f"{self._spec(label)} SET LOCATION '{folder}/{self._path(label)}'")
-        emptied = [self._spec(label) for label in sorted(set(labels) & known - filled)]
+        gaining = {*gaining}
+        for turn in (filled & known & gaining, filled & known - gaining):
+            changes = [f"{self._spec(label)} SET LOCATION '{folder}/{self._path(label)}'" for label in sorted(turn)]
+            with ThreadPoolExecutor(SWITCHES) as pool:  # one statement per partition, several at a time
+                list(pool.map(self._alter, changes))
+        emptied = sorted(set(labels) & known - filled)
         if emptied:
-            self._alter("DROP IF EXISTS " + ", ".join(emptied))
+            self.forget(emptied)
+        return sorted(filled | set(labels))
+
+    def forget(self, labels: list[str]) -> None:
+        """Drop partitions, all in one statement; their folders stay."""
+        self._alter("DROP IF EXISTS " + ", ".join(self._spec(label) for label in labels))
 
     def _alter(self, change: str) -> None:
         self.spark.sql(f"ALTER TABLE {self.name} {change}")
@@ -120,13 +160,14 @@ class PartitionedTable:
 
 
 class CandidateStore:
-    """The candidate table together with the stored resume files."""
+    """The candidate table together with the stored resume files, the key index and the counts."""
 
     def __init__(self, spark: SparkSession, root: str, name: str = "candidates"):
         self.spark = spark
         self.root = root
-        self.people = PartitionedTable(spark, name, root, CANDIDATES, CANDIDATE_PARTITIONS)
+        self.people = PartitionedTable(spark, name, root, STORED, CANDIDATE_PARTITIONS, ("job",))
         self.files = PartitionedTable(spark, f"{name}_cv", root, CANDIDATE_CV, CV_PARTITIONS)
+        self.keys = KeyIndex(spark, f"{root}/{name}-keys")
         self.people.create()
         self.files.create()
 
@@ -139,7 +180,7 @@ class CandidateStore:
     def insert(
         self,
         batch: DataFrame,
-        load_id: str,
+        load_id: str | None,
         store_cv: bool = False,
         finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     ) -> None:
@@ -149,33 +190,125 @@ class CandidateStore:
         applications then go before any text is read. Stored files are still read with all rows.
 
         Keys count as known if another load holds them. A repeated load therefore
-        never finds its own first attempt, and replaces that attempt.
+        never finds its own first attempt, and replaces that attempt. A load that
+        `compact` has closed is refused: its rows lie among those of others.
+
+        Without a load id the batch names the load of each row in a column `load_id`: many loads
+        at once, with the result of inserting them one after the other in the order of their names.
         """
-        if not re.fullmatch(r"[\w.-]+", load_id):
-            raise ValueError(f"a load id names a folder, so {load_id!r} will not do")
-        own = F.col("load_id") == load_id
-        others = self.read().where(~own)
-        before = self.people.labels(self.read().where(own))
+        loads = [load_id] if load_id is not None else sorted(row[0] for row in batch.select("load_id").distinct().collect())
+        for name in loads:
+            if not re.fullmatch(r"[\w.-]+", name) or name.startswith(MERGED):
+                raise ValueError(f"a load id names a folder, so {name!r} will not do")
+        closed = self._loads("closed").where(F.col("load_id").isin(loads)).select("load_id").distinct().collect()
+        if closed:
+            raise ValueError(f"closed loads: {sorted(row[0] for row in closed)}; what they still have to add needs a load of its own")
+        before = self.people.labels(self.read().where(F.col("segment").isin(loads)))
+        load = F.lit(load_id) if load_id is not None else F.col("load_id")
         # The same mail of the same load keeps its id when the load is repeated.
-        identity = F.concat_ws("/", F.lit(load_id), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY])
-        new_id, load = F.substring(F.sha2(identity, 256), 1, 32).alias("id"), F.lit(load_id).alias("load_id")
-        old_files = self.files.labels(self.read_files().where(own))
+        identity = F.concat_ws("/", load, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY])
+        added = {"id": F.substring(F.sha2(identity, 256), 1, 32), "load_id": load, "segment": load}
+        order = ("applied_at", "filename") if load_id is not None else ("load_id", "applied_at", "filename")
+        old_files = self.files.labels(self.read_files().where(F.col("load_id").isin(loads)))
+        wanted = f"{self.root}/staged-{uuid.uuid4().hex}"
+        batch.where(has_key(batch)).select(*NATURAL_KEY).distinct().write.parquet(wanted)
+        known = self._known(self.spark.read.schema("job string, name string").parquet(wanted), loads)
         if not store_cv:
-            new = finish(insert_if_absent(batch.drop("cv"), others)).drop("cv")
-            self.people.replace(_placed(new.select("*", new_id, load)), before)
+            new = finish(absent_rows(batch.drop("cv"), known, order=order)).drop("cv").withColumns(added)
+            self._put(self.people.stage(_placed(new)), before)
             if old_files:
                 self.files.replace(self.read_files().where(F.lit(False)), old_files)
-            return
-        # Writing the batch once keeps the files out of the sort and shuffle that find the new rows.
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        named = finish(batch).select("*", new_id, load)
-        named.write.parquet(staged)
-        named = self.spark.read.schema(named.schema).parquet(staged)
-        self.people.replace(_placed(insert_if_absent(named.drop("cv"), others)), before)
-        inserted = broadcast_if_small(self.read().where(own).select("id"))
-        files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
-        self.files.replace(_prefixed(files), old_files)
-        self._remove(staged)
+        else:
+            # Writing the batch once keeps the files out of the sort and shuffle that find the new rows.
+            staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+            named = finish(batch).withColumns(added)
+            named.write.parquet(staged)
+            named = self.spark.read.schema(named.schema).parquet(staged)
+            self._put(self.people.stage(_placed(absent_rows(named.drop("cv"), known, order=order))), before)
+            inserted = broadcast_if_small(self.read().where(F.col("segment").isin(loads)).select("id"))
+            files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
+            self.files.replace(_prefixed(files), old_files)
+            remove(self.spark, staged)
+        remove(self.spark, wanted)
+        ended = few_rows(self.spark, [(name, datetime.now()) for name in loads], LOADS)
+        ended.coalesce(1).write.mode("append").parquet(self._place("loads"))
+
+    def _known(self, wanted: DataFrame, loads: list[str]) -> DataFrame:
+        """Keys among the wanted ones that a row of another load than these holds."""
+        if not self.keys.exists():
+            self.keys.rebuild(self.read())
+        others = ~F.col("load_id").isin(loads)
+        hits = self.keys.matching(wanted).where(others).select("id", "applied_month").distinct()
+        few = hits.limit(LISTED_IDS + 1).collect()
+        if len(few) <= LISTED_IDS:
+            months, ids = {row["applied_month"] for row in few}, [row["id"] for row in few]
+            held = self.read().where(F.col("applied_month").isin(sorted(months)) & F.col("id").isin(ids))
+        else:
+            place = f"{self.root}/staged-{uuid.uuid4().hex}"
+            hits.write.parquet(place)
+            hits = self.spark.read.schema("id string, applied_month string").parquet(place)
+            months = {row[0] for row in hits.select("applied_month").distinct().collect()}
+            held = self.read().where(F.col("applied_month").isin(sorted(months))).join(broadcast_if_small(hits), ["id", "applied_month"], "left_semi")
+        return held.where(others).select(*NATURAL_KEY).distinct()
+
+    def _put(self, folder: str, labels: list[str], gaining: Iterable[str] = ()) -> None:
+        """Index the keys of a staged folder, switch to it and renew the counts of what changed."""
+        self.keys.add(self.people.staged(folder))
+        self._spell(self.people.staged(folder))
+        self._count(self.people.switch(folder, labels, gaining), self.people.staged(folder))
+
+    def _count(self, labels: list[str], rows: DataFrame) -> None:
+        """Replace the counts of some partitions by those of their rows; all in one write."""
+        counts = rows.groupBy("job", F.to_date("applied_at").alias("day"), *CANDIDATE_PARTITIONS).agg(F.count("*").alias("n"))
+        # A partition without rows still replaces its counts.
+        marks = [(None, None, 0, *label.split("/")) for label in labels]
+        both = counts.select("job", "day", "n", *CANDIDATE_PARTITIONS).union(few_rows(self.spark, marks, COUNTS))
+        balanced = both.hint("rebalance", *[F.col(p) for p in CANDIDATE_PARTITIONS])
+        balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CANDIDATE_PARTITIONS).parquet(self._place("counts"))
+
+    def counts(self) -> DataFrame:
+        """(job, day, n): applications by job and day, ready to be added up. Candidates are not read."""
+        place = self._place("counts")
+        if not listed(self.spark, place):
+            return few_rows(self.spark, [], COUNTS).select("job", "day", "n")
+        return self.spark.read.schema(COUNTS).parquet(place).where("n > 0").select("job", "day", "n")
+
+    def _spell(self, rows: DataFrame) -> None:
+        """Note the spellings of jobs that are new. Like keys, they are written before the rows that have them."""
+        new = rows.select("job").where(F.col("job").isNotNull()).distinct().join(self.spellings(), "job", "left_anti")
+        found = [(row["job"],) for row in new.limit(MANY_SPELLINGS).collect()]
+        if len(found) == MANY_SPELLINGS:
+            new.write.mode("append").parquet(self._place("spellings"))
+        elif found:
+            few_rows(self.spark, found, "job string").coalesce(1).write.mode("append").parquet(self._place("spellings"))
+
+    def spellings(self) -> DataFrame:
+        """Every spelling of a job that a stored row has or had, perhaps more than once."""
+        place = self._place("spellings")
+        found = any(name.endswith(".parquet") for name in listed(self.spark, place))
+        return self.spark.read.schema("job string").parquet(place) if found else few_rows(self.spark, [], "job string")
+
+    def rows_for(self, spec: BrowseSpec) -> DataFrame:
+        """The table's rows for a listing, narrowed so that files without the spec's job are skipped.
+
+        A collated comparison cannot be pushed to a scan. The spellings that are equal to the
+        job by it can: they are few, and are found in a list of all spellings. The listing's own
+        predicate decides all the same.
+        """
+        if spec.job == ALL:
+            return self.read()
+        equal = self.spellings().where(loosely_equal("job", spec.job)).distinct().limit(MANY_SPELLINGS).collect()
+        if len(equal) == MANY_SPELLINGS:
+            return self.read()
+        return self.read().where(F.col("job").isin([row["job"] for row in equal]))
+
+    def _place(self, what: str) -> str:
+        return f"{self.root}/{self.people.name}-{what}"
+
+    def _loads(self, which: str) -> DataFrame:
+        place = self._place(which)
+        found = any(name.endswith(".parquet") for name in listed(self.spark, place))
+        return self.spark.read.schema(LOADS).parquet(place) if found else few_rows(self.spark, [], LOADS)
 
     def delete(self, ids: DataFrame) -> None:
         """Remove candidates and their files, rewriting only the partitions they lie in."""
@@ -184,11 +317,12 @@ class CandidateStore:
         if hit:
             files = self.files.labels(_prefixed(doomed))
             self.files.replace(delete_by_id(self.files.content(files), ids), files)
-            self.people.replace(delete_by_id(self.people.content(hit), ids), hit)
+            folder = self.people.stage(delete_by_id(self.people.content(hit), ids))
+            self._count(self.people.switch(folder, hit), self.people.staged(folder))
 
     def update(self, edits: DataFrame, order: str | None = None) -> None:
         """Overwrite the supplied columns of the candidates that really change."""
-        edits = edits.drop(*CANDIDATE_PARTITIONS)
+        edits = edits.drop(*CANDIDATE_PARTITIONS, "load_id")
         if "status" in edits.columns:  # a page shows no label for an unknown code; such an edit keeps the code
             stored = self.read().select("id", F.col("status").alias("_stored"))
             edits = edits.join(stored, "id", "left").withColumn("status", F.coalesce("status", "_stored")).drop("_stored")
@@ -205,33 +339,123 @@ class CandidateStore:
             ids = broadcast_if_small(changed.select("id").distinct())
             content = self.people.content(hit)
             new = update_by_id(content.join(ids, "id", "left_semi"), edits).dropDuplicates(["id"])
-            self.people.replace(_placed(content.join(ids, "id", "left_anti").unionByName(new)), hit, gaining)
-        self._remove(staged)
+            folder = self.people.stage(_placed(content.join(ids, "id", "left_anti").unionByName(new)))
+            if {*edits.columns} & {*NATURAL_KEY, "applied_at"}:  # only these make new entries
+                moved = self.people.staged(folder).join(edits.select("id"), "id", "left_semi")
+                self.keys.add(moved)
+                self._spell(moved)
+            self._count(self.people.switch(folder, hit, gaining), self.people.staged(folder))
+        remove(self.spark, staged)
+
+    def save(self, shown: DataFrame, edited: DataFrame) -> DataFrame:
+        """Save an edited page (see `operators.saving`). Rows that conflict or are gone come back, nothing of them is saved."""
+        place = f"{self.root}/staged-{uuid.uuid4().hex}"  # stays for the caller until the next vacuum
+        outcome = three_way(self.read().drop(*CANDIDATE_PARTITIONS, "load_id"), shown, edited)
+        outcome.write.parquet(place)
+        outcome = self.spark.read.schema(outcome.schema).parquet(place)
+        self.update(to_store(outcome))
+        return outcome.where(F.col("state").isin(CONFLICT, GONE))
+
+    def retire(self, before: datetime) -> None:
+        """Remove all applications from before a moment, with their files, keys and counts. Undated ones stay.
+
+        Months that end before it are dropped whole, without reading their files; only the
+        moment's own month is rewritten. Doing it again changes nothing.
+        """
+        month, moment = before.strftime("%Y-%m"), F.lit(str(before)).cast("timestamp")
+        old = self.read().where((F.col("applied_month") <= month) & (F.col("applied_at") < moment))
+        place = f"{self.root}/staged-{uuid.uuid4().hex}"
+        old = old.select("id", *NATURAL_KEY, "load_id", *CANDIDATE_PARTITIONS)
+        old.write.parquet(place)
+        old = self.spark.read.schema(old.schema).parquet(place)
+        hit = self.people.labels(old)
+        if hit:
+            files = self.files.labels(_prefixed(old))
+            self.files.replace(delete_by_id(self.files.content(files), old), files)
+            whole = [label for label in hit if label.split("/")[0] < month]
+            if whole:
+                self.people.forget(whole)
+                self._count(whole, self.read().where(F.lit(False)))
+            split = [label for label in hit if label not in {*whole}]
+            if split:
+                folder = self.people.stage(self.people.content(split).where(~F.coalesce(F.col("applied_at") < moment, F.lit(False))))
+                self._count(self.people.switch(folder, split), self.people.staged(folder))
+            self.keys.discard(old)
+        remove(self.spark, place)
+
+    def newest_day(self, apart_from: str) -> date | None:
+        """The last day with an application of another load. Candidates are not read."""
+        place = self._place("counts")
+        if not listed(self.spark, place):
+            return None
+        others = self.spark.read.schema(COUNTS).parquet(place).where((F.col("n") > 0) & (F.col("segment") != apart_from))
+        return others.agg(F.max("day")).first()[0]
+
+    def compact(self, before: datetime, rows_per_segment: int = 5_000_000) -> None:
+        """Pack the small partitions of loads that finished before a moment, month by month.
+
+        The partitions of a month are packed, smallest first, into segments of up to
+        `rows_per_segment` rows; larger ones stay as they are. Rows keep their `load_id`.
+        The loads are closed by it: repeating one is refused from then on. So leave out
+        what may still be repeated, such as a stream's last micro-batch. Like every
+        change it can be repeated if it breaks off; then no row stays twice.
+        """
+        closed = self._loads("loads").groupBy("load_id").agg(F.max("finished_at").alias("finished_at")).where(F.col("finished_at") < before)
+        sizes = self.read().groupBy(*CANDIDATE_PARTITIONS).agg(F.count("*").alias("n"))
+        old = sizes.join(closed.select(F.col("load_id").alias("segment")), "segment", "left_semi")
+        packed = sizes.where(F.col("segment").startswith(MERGED))
+        months = defaultdict(list)
+        for row in old.unionByName(packed).where(F.col("n") < rows_per_segment).collect():  # one row per partition
+            months[row["applied_month"]].append((row["n"], row["segment"]))
+        moves = {}
+        for month, parts in months.items():
+            bins: list[list[str]] = []
+            room = 0
+            for n, segment in sorted(parts):
+                if n > room:
+                    bins.append([])
+                    room = rows_per_segment
+                bins[-1].append(segment)
+                room -= n
+            for members in bins:
+                if len(members) > 1:
+                    name = MERGED + hashlib.sha256("/".join(sorted(members)).encode()).hexdigest()[:16]
+                    moves |= {f"{month}/{segment}": name for segment in members}
+        if not moves:
+            return
+        labels = sorted(moves)
+        content = self.people.content(labels)
+        ending = content.select("load_id").distinct().withColumn("finished_at", F.lit(before))
+        ending.coalesce(1).write.mode("append").parquet(self._place("closed"))
+        names = few_rows(self.spark, [(*label.split("/"), name) for label, name in moves.items()], "applied_month string, segment string, to string")
+        # A call that broke off may have left rows both in their old segment and in a merged one.
+        merged = content.join(F.broadcast(names), list(CANDIDATE_PARTITIONS)).withColumn("segment", F.col("to")).drop("to").dropDuplicates(["id"])
+        folder = self.people.stage(merged)
+        self._count(self.people.switch(folder, []), self.people.staged(folder))
+        self.people.forget(labels)
+        self._count(labels, self.read().where(F.lit(False)))
 
     def vacuum(self) -> None:
         """Remove folders below the root that no partition points to: replaced, emptied and staged ones.
 
-        Deleted people and files are gone from storage afterwards. Run it while nothing reads or writes the tables.
+        Deleted people and files are gone from storage afterwards, and their keys from the
+        index. Run it while nothing reads or writes the tables.
         """
         used = set()
         for held in (self.people, self.files):
             used |= {file.split("/")[-1 - len(held.partitions) - 1] for file in held.read().inputFiles()}
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        for status in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
-            folder = status.getPath().getName()
+        if self.keys.exists():
+            self.keys.rebuild(self.read())
+        for folder in listed(self.spark, self.root):
             ours = any(re.fullmatch(rf"{re.escape(name)}-[0-9a-f]{{32}}", folder) for name in (self.people.name, self.files.name, "staged"))
             if ours and folder not in used:
-                self._remove(f"{self.root}/{folder}")
+                remove(self.spark, f"{self.root}/{folder}")
 
     def drop(self) -> None:
         """Forget both tables; their folders below the root stay."""
         for held in (self.people, self.files):
             self.spark.sql(f"DROP TABLE IF EXISTS {held.name}")
 
-    def _remove(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def lookup(self, candidate_id: str) -> DataFrame:
         """File, name and job of one candidate: one row or none."""
         files = self.read_files().where(F.col("id_prefix") == candidate_id[:1])
