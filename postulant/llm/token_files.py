@@ -57,16 +57,16 @@ from postulant.session import work_folder
 MAGIC = b"TID1"
 HEAD = struct.Struct("<4sIQQ")
 # A block is closed when it has this many ids; a file has so many blocks.
-BLOCK_IDS = 1 << 21
-FILE_BLOCKS = 4
+BLOCK_IDS = 1 << 20
+FILE_BLOCKS = 8
 # Ids that a task remembers for words it has met, before it starts afresh.
-REMEMBERED = 1 << 22
+REMEMBERED = 1 << 21
 # Different pieces that a task counts before it passes the counts on.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
 # Words encoded in one call.
 TOGETHER = 200
 # Bytes of text that a task works on at once.
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 # Lengths of the four ids that each control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
