@@ -10,7 +10,9 @@ with a smaller doc_id.
 2. Equal snippets are counted once per chunk of documents and once per gram
    partition, by hash, with their smallest document. Chunks ship hashes only, so a
    passage that a third of all documents share costs one entry per chunk.
-3. Only grams with several different snippets need their texts, from every chunk that
+3. A string has at least `SIDE` bytes on one side of its gram. So only snippets that share
+   their gram and as much beside it, on the same side, with a different snippet can share a string; hashes of
+   both sides travel with the entries. Only those need their texts, from every chunk that
    has the smallest document of one. In the partition they form shards; every shard sorts its suffixes once into a
    Burrows-Wheeler transform. The transforms are merged by refining their interleave:
    each round sorts the interleave, stably, by the symbols before it, which orders
@@ -42,12 +44,14 @@ from postulant.llm.kernel import U, mix, powers, prefix, slices, spans
 LENGTH = 50
 GRAM = 20
 WINDOWS = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM) // 2
+SIDE_BITS = 24
 ROWS_BITS = 11
 SHARDS = 4
 MERGED = 1 << 17  # bytes of snippets merged at once
 LARGEST = np.iinfo(np.int64).max
 BLOBS = "part long, chunk long, blob binary"
-ENTRY = np.dtype([("gram", "u8"), ("snippet", "u8"), ("doc", "i8")])
+ENTRY = np.dtype([("gram", "u8"), ("snippet", "u8"), ("doc", "i8"), ("left", "u4"), ("right", "u4")])
 SMALL, SHIP = 1, 2  # flags: a smaller document has the snippet; its text is wanted
 
 
@@ -57,6 +61,7 @@ class Snippets:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         none = np.zeros(0, np.int64)
         self.gram = self.hash = np.zeros(0, U)
+        self.left = self.right = np.zeros(0, np.uint32)
         self.row, self.start, self.end = none, none, none
         if len(data) < LENGTH:
             return
@@ -79,31 +84,46 @@ class Snippets:
         self.gram = grams[place[self.start]] >> U(24)
         self.hash = spans(sums, self.start, self.end + LENGTH - 1) >> U(16)
         self.row = np.searchsorted(offsets, self.start, "right") - 1
+        at = place[self.start].astype(np.int64)
+        self.left = self._side(sums, at - SIDE, at + GRAM, at - self.start >= SIDE)
+        self.right = self._side(sums, at, at + GRAM + SIDE, self.end + LENGTH - 1 - at >= GRAM + SIDE)
+
+    @staticmethod
+    def _side(sums: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Hashes of the gram with the bytes beside it; 0 where the snippet ends before."""
+        out = np.zeros(len(start), np.uint32)
+        out[inside] = np.maximum(spans(sums, start[inside], end[inside]) >> U(64 - SIDE_BITS), U(1))
+        return out
 
     @property
     def key(self) -> np.ndarray:
         return (self.hash << U(16)) ^ self.gram
 
 
+PACKED = (("gram", 5), ("snippet", 6), ("left", 3), ("right", 3))
+PACKED_BYTES = sum(size for _, size in PACKED)
+
+
 def _packed(entries: np.ndarray) -> bytes:
-    """5 bytes of gram, 6 of the snippet's hash, and the document as a distance from the smallest."""
+    """5 bytes of gram, 6 of the snippet's hash, 3 for each side, and the document as a distance from the smallest."""
     base = int(entries["doc"].min())
     far = entries["doc"] - base
     wide = 8 if int(far.max()) >= 1 << 32 else 4
-    gram = entries["gram"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    snippet = entries["snippet"].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return np.int64(base).tobytes() + bytes([wide]) + np.hstack([gram, snippet, far.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)]).tobytes()
+    fields = [np.ascontiguousarray(entries[name]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size] for name, size in PACKED]
+    return np.int64(base).tobytes() + bytes([wide]) + np.hstack([*fields, far.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)]).tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
     base, wide = int(np.frombuffer(blob, np.int64, 1)[0]), blob[8]
-    rows = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, 11 + wide)
+    rows = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, PACKED_BYTES + wide)
     out = np.zeros(len(rows), ENTRY)
-    for name, a, b in (("gram", 0, 5), ("snippet", 5, 11)):
+    at = 0
+    for name, size in PACKED:
         full = np.zeros((len(rows), 8), np.uint8)
-        full[:, : b - a] = rows[:, a:b]
+        full[:, :size] = rows[:, at : at + size]
         out[name] = full.view("<u8").ravel()
-    out["doc"] = np.ascontiguousarray(rows[:, 11:]).view(f"<u{wide}").ravel().astype(np.int64) + base
+        at += size
+    out["doc"] = np.ascontiguousarray(rows[:, PACKED_BYTES:]).view(f"<u{wide}").ravel().astype(np.int64) + base
     return out
 
 
@@ -126,7 +146,8 @@ def _classes(texts: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
     for first, end, data, offsets in slices(texts.column("text")):
         runs.append((ids[first:end], data, offsets, Snippets(data, offsets)))
     every = np.zeros(sum(len(r[3].start) for r in runs), ENTRY)
-    for name, of in (("gram", lambda r: r[3].gram), ("snippet", lambda r: r[3].hash), ("doc", lambda r: r[0][r[3].row])):
+    parts_ = (("gram", lambda r: r[3].gram), ("snippet", lambda r: r[3].hash), ("doc", lambda r: r[0][r[3].row]), ("left", lambda r: r[3].left), ("right", lambda r: r[3].right))
+    for name, of in parts_:
         every[name] = np.concatenate([of(r) for r in runs]) if runs else []
     keys = _keys(every)
     order = np.argsort(keys, kind="stable")
@@ -149,6 +170,17 @@ def count_snippets(n_parts: int):
     return run
 
 
+def _shared(distinct: np.ndarray, side: str) -> np.ndarray:
+    """Which of different snippets have gram and side in common with another one."""
+    order = np.lexsort((distinct[side], distinct["gram"]))
+    gram, beside = distinct["gram"][order], distinct[side][order]
+    same = (gram[1:] == gram[:-1]) & (beside[1:] == beside[:-1]) & (beside[1:] != 0)
+    out = np.zeros(len(distinct), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def judge_snippets(key: tuple, blobs: pa.Table) -> pa.Table:
     """Per chunk: (key, flags) of its snippets that a smaller document has too, or whose text is wanted."""
     chunks = blobs.column("chunk").to_numpy()
@@ -160,8 +192,9 @@ def judge_snippets(key: tuple, blobs: pa.Table) -> pa.Table:
     new_gram[1:] = entries["gram"][1:] != entries["gram"][:-1]
     first = new_gram.copy()
     first[1:] |= entries["snippet"][1:] != entries["snippet"][:-1]
-    several = np.bincount(np.cumsum(new_gram) - 1, first)[np.cumsum(new_gram) - 1] > 1
-    smallest = entries["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
+    distinct, which = entries[first], np.cumsum(first) - 1
+    several = (_shared(distinct, "left") | _shared(distinct, "right"))[which]
+    smallest = distinct["doc"][which]
     flags = np.where(entries["doc"] > smallest, SMALL, 0) | np.where((entries["doc"] == smallest) & several, SHIP, 0)  # rows of one id may lie in several chunks
     told = np.flatnonzero(flags)
     found = np.zeros(len(told), [("key", "u8"), ("flags", "u1")])
