@@ -61,7 +61,6 @@ class Snippets:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         none = np.zeros(0, np.int64)
         self.gram = self.hash = np.zeros(0, U)
-        self.left = self.right = np.zeros(0, np.uint32)
         self.row, self.start, self.end = none, none, none
         if len(data) < LENGTH:
             return
@@ -84,15 +83,19 @@ class Snippets:
         self.gram = grams[place[self.start]] >> U(24)
         self.hash = spans(sums, self.start, self.end + LENGTH - 1) >> U(16)
         self.row = np.searchsorted(offsets, self.start, "right") - 1
-        at = place[self.start].astype(np.int64)
-        self.left = self._side(sums, at - SIDE, at + GRAM, at - self.start >= SIDE)
-        self.right = self._side(sums, at, at + GRAM + SIDE, self.end + LENGTH - 1 - at >= GRAM + SIDE)
+        self._sums, self._at = sums, place[self.start].astype(np.int64)
 
-    @staticmethod
-    def _side(sums: np.ndarray, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Hashes of the gram with the bytes beside it; 0 where the snippet ends before."""
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the gram with the bytes before it and behind it; 0 where the snippet ends before."""
+        if not len(self.start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        at = self._at
+        left = self._side(at - SIDE, at + GRAM, at - self.start >= SIDE)
+        return left, self._side(at, at + GRAM + SIDE, self.end + LENGTH - 1 - at >= GRAM + SIDE)
+
+    def _side(self, start: np.ndarray, end: np.ndarray, inside: np.ndarray) -> np.ndarray:
         out = np.zeros(len(start), np.uint32)
-        out[inside] = np.maximum(spans(sums, start[inside], end[inside]) >> U(64 - SIDE_BITS), U(1))
+        out[inside] = np.maximum(spans(self._sums, start[inside], end[inside]) >> U(64 - SIDE_BITS), U(1))
         return out
 
     @property
@@ -140,15 +143,16 @@ def _keys(entries: np.ndarray) -> np.ndarray:
     return (entries["snippet"] << U(16)) ^ entries["gram"]
 
 
-def _classes(texts: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, Snippets]]]:
+def _classes(texts: pa.Table, sides: bool = False) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, Snippets]]]:
     """The distinct snippets of a chunk with their smallest document, and per run of texts: ids, bytes, offsets, snippets."""
     ids, runs = _ids(texts.column("doc_id")), []
     for first, end, data, offsets in slices(texts.column("text")):
         runs.append((ids[first:end], data, offsets, Snippets(data, offsets)))
     every = np.zeros(sum(len(r[3].start) for r in runs), ENTRY)
-    parts_ = (("gram", lambda r: r[3].gram), ("snippet", lambda r: r[3].hash), ("doc", lambda r: r[0][r[3].row]), ("left", lambda r: r[3].left), ("right", lambda r: r[3].right))
-    for name, of in parts_:
+    for name, of in (("gram", lambda r: r[3].gram), ("snippet", lambda r: r[3].hash), ("doc", lambda r: r[0][r[3].row])):
         every[name] = np.concatenate([of(r) for r in runs]) if runs else []
+    if sides and runs:
+        every["left"], every["right"] = (np.concatenate(x) for x in zip(*[r[3].sides() for r in runs], strict=True))
     keys = _keys(every)
     order = np.argsort(keys, kind="stable")
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), np.diff(keys[order]) != 0]))
@@ -160,7 +164,7 @@ def _classes(texts: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
 
 def count_snippets(n_parts: int):
     def run(key: tuple, texts: pa.Table) -> pa.Table:
-        entries, _ = _classes(texts)
+        entries, _ = _classes(texts, sides=True)
         part = (entries["gram"] % U(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
@@ -255,9 +259,10 @@ def _transform(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Sorted suffixes of strings closed by 0: places, symbols before them (0 at a string's start), and where those suffixes rank."""
     longest = int((ends - np.concatenate([[0], ends[:-1] + 1])).max()) + 1
     own_end = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
-    at = np.arange(len(text))[:, None] + np.arange(longest)[None, :]
-    seen = np.where(at <= own_end[:, None], text[np.minimum(at, len(text) - 1)], 0).astype(np.uint8)
-    places = np.argsort(np.ascontiguousarray(seen).view(f"S{longest}").ravel(), kind="stable")
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(longest, np.uint8)]), longest)[: len(text)]
+    left = (own_end - np.arange(len(text))).astype(np.int16 if longest < 1 << 15 else np.int64)
+    seen = np.where(np.arange(longest, dtype=left.dtype) <= left[:, None], windows, np.uint8(0))
+    places = np.argsort(seen.view(f"S{longest}").ravel(), kind="stable")
     rank = np.empty(len(text), np.int64)
     rank[places] = np.arange(len(text))
     before = np.where(places > 0, text[places - 1], 0)
