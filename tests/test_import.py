@@ -246,7 +246,8 @@ def test_vacuum_removes_deleted_people_from_storage(spark, tmp_path):
     store.delete(store.read().where("name = 'Person Anna'").select("id"))
     store.vacuum()
     stored = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
-    assert [r.name for r in stored.collect()] == ["Person Bert"] == [r.name for r in store.read().collect()]
+    assert {r.name for r in stored.collect()} - {None} == {"Person Bert"}  # nor does the key index name the other
+    assert [r.name for r in store.read().collect()] == ["Person Bert"]
 
 
 def test_only_mails_are_imported(spark):
