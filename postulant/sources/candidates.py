@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +60,8 @@ LISTED_IDS = 1000
 # Spellings of one job, up to which they are pushed to the scan.
 MANY_SPELLINGS = 1000
 COUNTS = "job string, day date, n long, applied_month string, segment string"
+# Files of counts, above which they are written anew as one.
+COUNT_FILES = 64
 LOADS = "load_id string, finished_at timestamp"
 MERGED = "merged-"  # names of segments that hold several loads
 
@@ -258,20 +262,34 @@ class CandidateStore:
         self._count(self.people.switch(folder, labels, gaining), self.people.staged(folder))
 
     def _count(self, labels: list[str], rows: DataFrame) -> None:
-        """Replace the counts of some partitions by those of their rows; all in one write."""
+        """Replace the counts of some partitions by those of their rows: all in one append, of a newer version."""
         counts = rows.groupBy("job", F.to_date("applied_at").alias("day"), *CANDIDATE_PARTITIONS).agg(F.count("*").alias("n"))
         # A partition without rows still replaces its counts.
         marks = [(None, None, 0, *label.split("/")) for label in labels]
         both = counts.select("job", "day", "n", *CANDIDATE_PARTITIONS).union(few_rows(self.spark, marks, COUNTS))
-        balanced = both.hint("rebalance", *[F.col(p) for p in CANDIDATE_PARTITIONS])
-        balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CANDIDATE_PARTITIONS).parquet(self._place("counts"))
+        self._append_counts(both)
+        files = [name for name in listed(self.spark, self._place("counts")) if name.endswith(".parquet")]
+        if len(files) > COUNT_FILES:
+            # The new file is newer for every partition, emptied ones included, so a break while old files go does no harm.
+            self._append_counts(self._counted())
+            for name in files:
+                remove(self.spark, f"{self._place('counts')}/{name}")
+
+    def _append_counts(self, rows: DataFrame) -> None:
+        rows.withColumn("version", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(self._place("counts"))
+
+    def _counted(self) -> DataFrame:
+        """The newest counts of every partition; one row of 0 for a partition that has none left."""
+        place = self._place("counts")
+        if not listed(self.spark, place):
+            return few_rows(self.spark, [], COUNTS)
+        rows = self.spark.read.schema(f"{COUNTS}, version long").parquet(place)
+        newest = F.max("version").over(W.partitionBy(*CANDIDATE_PARTITIONS))
+        return rows.withColumn("newest", newest).where("version = newest").drop("version", "newest")
 
     def counts(self) -> DataFrame:
         """(job, day, n): applications by job and day, ready to be added up. Candidates are not read."""
-        place = self._place("counts")
-        if not listed(self.spark, place):
-            return few_rows(self.spark, [], COUNTS).select("job", "day", "n")
-        return self.spark.read.schema(COUNTS).parquet(place).where("n > 0").select("job", "day", "n")
+        return self._counted().where("n > 0").select("job", "day", "n")
 
     def _spell(self, rows: DataFrame) -> None:
         """Note the spellings of jobs that are new. Like keys, they are written before the rows that have them."""
@@ -385,11 +403,7 @@ class CandidateStore:
 
     def newest_day(self, apart_from: str) -> date | None:
         """The last day with an application of another load. Candidates are not read."""
-        place = self._place("counts")
-        if not listed(self.spark, place):
-            return None
-        others = self.spark.read.schema(COUNTS).parquet(place).where((F.col("n") > 0) & (F.col("segment") != apart_from))
-        return others.agg(F.max("day")).first()[0]
+        return self._counted().where((F.col("n") > 0) & (F.col("segment") != apart_from)).agg(F.max("day")).first()[0]
 
     def compact(self, before: datetime, rows_per_segment: int = 5_000_000) -> None:
         """Pack the small partitions of loads that finished before a moment, month by month.

@@ -150,7 +150,8 @@ def same_counts(store):
     return True
 
 
-def test_counts_follow_every_change(spark, store):
+def test_counts_follow_every_change(spark, store, monkeypatch):
+    monkeypatch.setattr("postulant.sources.candidates.COUNT_FILES", 3)
     assert store.counts().count() == 0
     rows = [(f"j{k % 3}", f"n{k}", k % 50, float(k)) for k in range(40)] + [("", "", 3, 0.0), ("j1", "undated", None, 1.0)]
     store.insert(batch(spark, rows), "one")
