@@ -19,6 +19,7 @@ HEADLINE = [
     "br_page", "br_after", "br_total", "mut_insert", "mut_update", "mut_delete", "tx_email", "tx_phone",
     "tx_address", "tx_names", "tx_redact", "js_defaults", "ing_candidates", "ing_prompts", "ing_insert",
     "ux_extract", "ing_stream", "bn_link", "mut_table", "mut_files", "ing_report",
+    "br_jump", "mut_conflict", "ing_keys", "mut_compact", "st_maintained",
 ]
 
 
