@@ -3,8 +3,10 @@
 Whether an application is already stored is asked for every imported mail. The index
 answers it from the buckets of the asked keys alone: `depth=<d>/bucket=<prefix>` holds the
 keys whose hash starts with these d hex digits. Every load appends its keys. A bucket of
-many small files is merged; once buckets grow beyond `bucket_bytes`, all keys move to
-buckets of one digit more. So what a batch reads depends on its own keys, not on the table.
+many small files is merged; once buckets grow beyond `bucket_bytes` (with more than 256 buckets:
+beyond 8 MB at least), all keys move at once to buckets of as many digits more as it takes. So what
+a batch reads depends on its own keys, not on the table. When all entries are written anew, they go to a new folder
+`depth=<d>.<version>`, and the old one is removed after that.
 
 The index only points: an entry names a row that may since have been changed or deleted,
 or that was never switched in because its load broke off. The store looks every hit up in
@@ -15,7 +17,8 @@ repeat at any point.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,10 @@ from postulant.sources.files import exists, few_rows, listed, remove
 
 ENTRIES = "job string, name string, id string, applied_month string, load_id string"
 HEX_DIGITS = 16
+# Every bucket is a folder to list and a file to write, which costs more than thousands of entries. So small buckets
+# split into up to 256, and further only from this size on.
+BUCKET_BYTES = 8 << 20
+CHEAP_DIGITS = 2
 
 
 def _prefix(depth: int) -> Column:
@@ -34,104 +41,151 @@ def _prefix(depth: int) -> Column:
     return F.substring(F.lpad(F.hex(F.xxhash64(*NATURAL_KEY)), HEX_DIGITS, "0"), 1, depth)
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select("job", "name", "id", "applied_month", "load_id").where("job <> '' AND name <> ''")
+
+
+@dataclass(frozen=True)
+class Held:
+    """A folder of entries: digits of its buckets, and how often all entries were written anew before it."""
+
+    depth: int
+    version: int = 0
+
+    @property
+    def name(self) -> str:
+        return f"depth={self.depth}" + (f".{self.version}" if self.version else "")
+
+
 @dataclass(frozen=True)
 class KeyIndex:
     spark: SparkSession
     root: str
-    bucket_bytes: int = 8 << 20
+    bucket_bytes: int = BUCKET_BYTES
     bucket_files: int = 8
 
+    def _held(self) -> list[Held]:
+        """Folders with all entries, the newest last; more than one only after a break."""
+        named = [re.fullmatch(r"depth=(\d+)(?:\.(\d+))?", name) for name in listed(self.spark, self.root)]
+        held = sorted((Held(int(m[1]), int(m[2] or 0)) for m in named if m), key=lambda h: (h.version, h.depth))
+        return [h for h in held if exists(self.spark, f"{self._folder(h)}/_SUCCESS")]
+
     def _depths(self) -> list[int]:
         """Depths whose buckets are complete."""
-        depths = [int(name[6:]) for name in listed(self.spark, self.root) if name.startswith("depth=")]
-        return sorted(d for d in depths if exists(self.spark, f"{self._folder(d)}/_SUCCESS"))
+        return [h.depth for h in self._held()]
 
-    def _folder(self, depth: int) -> str:
-        return f"{self.root}/depth={depth}"
+    def _folder(self, held: Held) -> str:
+        return f"{self.root}/{held.name}"
 
     def exists(self) -> bool:
-        return bool(self._depths())
+        return bool(self._held())
 
     def read(self) -> DataFrame:
         """All entries."""
-        depths = self._depths()
-        if not depths:
-            return few_rows(self.spark, [], ENTRIES)
-        return self.spark.read.schema(f"{ENTRIES}, bucket string").parquet(self._folder(depths[-1])).drop("bucket")
-
-    def _write(self, rows: DataFrame, depth: int, mode: str) -> None:
-        # Rows of a bucket meet in one file, and AQE splits what grows too large.
-        placed = rows.withColumn("bucket", _prefix(depth)).hint("rebalance", F.col("bucket"))
-        placed.write.mode(mode).partitionBy("bucket").parquet(self._folder(depth))
+        held = self._held()
+        return self._all(held[-1]) if held else few_rows(self.spark, [], ENTRIES)
+
+    def _all(self, held: Held) -> DataFrame:
+        return self.spark.read.schema(f"{ENTRIES}, bucket string").parquet(self._folder(held)).drop("bucket")
+
+    def _write(self, rows: DataFrame, held: Held, mode: str, buckets: int) -> None:
+        # Rows of a bucket meet in one file. Its cost lies in the number of files, not in their bytes, by which AQE
+        # would put all of them into one task; a stored key has one entry or few, so none fills a bucket.
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        placed = rows.withColumn("bucket", _prefix(held.depth)).repartition(max(min(tasks, buckets), 1), "bucket")
+        placed.write.mode(mode).partitionBy("bucket").parquet(self._folder(held))
+
+    def _anew(self, rows: DataFrame, depth: int) -> Held:
+        """Let these rows be the index, in a new folder; the old ones go, each in one call."""
+        old = self._held()
+        made = Held(depth, old[-1].version + 1 if old else 0)
+        self._write(rows, made, "overwrite", 16**depth)
+        for held in old:
+            remove(self.spark, self._folder(held))
+        return made
 
     def rebuild(self, rows: DataFrame) -> None:
         """Index these rows anew, from scratch; entries of rows that are gone go too."""
-        depths = self._depths()
-        named = rows.select("job", "name", "id", "applied_month", "load_id").where("job <> '' AND name <> ''")
-        depth = (depths[-1] if depths else 0) + 1
-        self._write(named, depth, "overwrite")
-        for old in depths:
-            remove(self.spark, self._folder(old))
-        self._settle(depth, self._buckets(depth))
+        held = self._held()
+        made = self._anew(_named(rows), held[-1].depth if held else 1)
+        self._settle(made, self._buckets(made))
 
     def add(self, rows: DataFrame) -> None:
         """Append the entries of rows with job, name, id, applied_month and load_id; rows without a key have none."""
-        depth = (self._depths() or [1])[-1]
-        named = rows.select("job", "name", "id", "applied_month", "load_id").where("job <> '' AND name <> ''")
-        touched = [row[0] for row in named.select(_prefix(depth)).distinct().collect()]  # at most as many as buckets
-        self._write(named, depth, "append")
-        self._settle(depth, touched)
-
-    def _buckets(self, depth: int) -> list[str]:
-        return [name[7:] for name in listed(self.spark, self._folder(depth)) if name.startswith("bucket=")]
-
-    def _settle(self, depth: int, touched: Sequence[str]) -> None:
-        """Merge touched buckets of many files; move all keys one digit deeper if the touched buckets are too large."""
-        files = {b: {f: n for f, n in listed(self.spark, f"{self._folder(depth)}/bucket={b}").items() if f.endswith(".parquet")} for b in touched}
-        size = sum(sum(held.values()) for held in files.values())
-        if size > self.bucket_bytes * max(len(touched), 1) and depth < HEX_DIGITS:
+        held = (self._held() or [Held(1)])[-1]
+        touched = self._touched(rows, held.depth)
+        self._write(_named(rows), held, "append", len(touched))
+        self._settle(held, touched)
+
+    def _touched(self, rows: DataFrame, depth: int) -> list[str]:
+        """The buckets of the rows' keys; at most as many as there are buckets."""
+        return [row[0] for row in rows.where("job <> '' AND name <> ''").select(_prefix(depth)).distinct().collect()]
+
+    def _buckets(self, held: Held) -> list[str]:
+        return [name[7:] for name in listed(self.spark, self._folder(held)) if name.startswith("bucket=")]
+
+    def _files(self, held: Held, buckets: Sequence[str]) -> dict[str, dict[str, int]]:
+        """The files of some buckets with their lengths. Spark lists them, in many folders at a time."""
+        found: dict[str, dict[str, int]] = {bucket: {} for bucket in buckets}
+        if found:
+            paths = [f"{self._folder(held)}/bucket={b}" for b in buckets]
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths)
+            for path, length in files.select("path", "length").collect():
+                found[path.split("/")[-2][7:]][path] = length
+        return found
+
+    def _most(self, depth: int) -> int:
+        """Bytes that a bucket may have."""
+        return self.bucket_bytes if depth < CHEAP_DIGITS else max(self.bucket_bytes, BUCKET_BYTES)
+
+    def _settle(self, held: Held, touched: Sequence[str]) -> None:
+        """Merge touched buckets of many files; move all keys deeper if the touched buckets are too large."""
+        files = self._files(held, touched)
+        size, depth = sum(sum(of.values()) for of in files.values()) / max(len(touched), 1), held.depth
+        while depth < HEX_DIGITS and size > self._most(depth):
+            size, depth = size / 16, depth + 1
+        if depth > held.depth:
             # Hashes spread evenly, so the touched buckets stand for all.
-            self._write(self.read().distinct(), depth + 1, "overwrite")
-            remove(self.spark, self._folder(depth))
-            return self._settle(depth + 1, self._buckets(depth + 1))
-        crowded = [b for b, held in files.items() if len(held) > self.bucket_files]
+            made = self._anew(self._all(held).distinct(), depth)
+            return self._settle(made, self._buckets(made))
+        crowded = {b: of for b, of in files.items() if len(of) > self.bucket_files}
         if crowded:
-            self._write(self._in(depth, crowded).distinct(), depth, "append")
-            for bucket in crowded:  # a break before this leaves entries twice, which does no harm
-                for file in files[bucket]:
-                    remove(self.spark, f"{self._folder(depth)}/bucket={bucket}/{file}")
+            self._replace(held, crowded, lambda rows: rows.distinct())
 
-    def discard(self, rows: DataFrame) -> None:
-        """Drop the entries of removed rows (job, name, id). Only their buckets are rewritten."""
-        depths = self._depths()
-        if not depths:
+    def _replace(self, held: Held, files: dict[str, dict[str, int]], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write the entries of some buckets anew. Most buckets: all entries, as that removes one folder and not each file."""
+        if 2 * len(files) > 16**held.depth:
+            self._anew(change(self._all(held)), held.depth)
             return
-        depth = depths[-1]
-        named = rows.where("job <> '' AND name <> ''")
-        touched = {row[0] for row in named.select(_prefix(depth)).distinct().collect()} & set(self._buckets(depth))
-        if not touched:
+        self._write(change(self._in(held, list(files))), held, "append", len(files))
+        for of in files.values():  # a break before this leaves entries twice or of rows that are gone, which does no harm
+            for file in of:
+                remove(self.spark, file)
+
+    def discard(self, rows: DataFrame) -> None:
+        """Drop the entries of removed rows (job, name, id). Only their buckets are rewritten, or all if they are most."""
+        if not self.exists():
             return
-        files = [f"{self._folder(depth)}/bucket={b}/{f}" for b in touched for f in listed(self.spark, f"{self._folder(depth)}/bucket={b}")]
-        left = self._in(depth, sorted(touched)).join(broadcast_if_small(named.select("id")), "id", "left_anti")
-        self._write(left.distinct(), depth, "append")
-        for file in files:  # a break before this leaves entries of rows that are gone, which does no harm
-            remove(self.spark, file)
+        held = self._held()[-1]
+        touched = {*self._touched(rows, held.depth)} & {*self._buckets(held)}
+        if touched:
+            gone = broadcast_if_small(rows.where("job <> '' AND name <> ''").select("id"))
+            self._replace(held, self._files(held, sorted(touched)), lambda left: left.join(gone, "id", "left_anti").distinct())
 
-    def _in(self, depth: int, buckets: Sequence[str]) -> DataFrame:
+    def _in(self, held: Held, buckets: Sequence[str]) -> DataFrame:
         """Entries of some buckets. Only their folders are listed and read."""
-        folder = self._folder(depth)
+        folder = self._folder(held)
         paths = [f"{folder}/bucket={b}" for b in buckets]
         return self.spark.read.schema(f"{ENTRIES}, bucket string").option("basePath", folder).parquet(*paths).drop("bucket")
 
     def candidates(self, keys: DataFrame) -> DataFrame:
         """Entries in the buckets of the given keys (job, name)."""
-        depths = self._depths()
-        if not depths:
+        if not self.exists():
             return self.read()
-        depth = depths[-1]
-        wanted = {row[0] for row in keys.select(_prefix(depth)).distinct().collect()}  # at most as many as buckets
-        found = sorted(wanted & set(self._buckets(depth)))
-        return self._in(depth, found) if found else few_rows(self.spark, [], ENTRIES)
+        held = self._held()[-1]
+        wanted = {row[0] for row in keys.select(_prefix(held.depth)).distinct().collect()}  # at most as many as buckets
+        found = sorted(wanted & set(self._buckets(held)))
+        return self._in(held, found) if found else few_rows(self.spark, [], ENTRIES)
 
     def matching(self, keys: DataFrame) -> DataFrame:
         """Entries with one of the given keys. Few keys are sent to the buckets, which then need no shuffle."""

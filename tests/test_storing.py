@@ -74,6 +74,40 @@ def test_a_broken_split_or_merge_loses_nothing(spark, tmp_path, monkeypatch):
         assert index.read().select("name").distinct().count() == 30 * (step + 1)
 
 
+def test_tiny_buckets_split_once_and_not_into_thousands_of_folders(spark, tmp_path, monkeypatch):
+    index = KeyIndex(spark, str(tmp_path / "keys"), bucket_bytes=500, bucket_files=2)
+    written, write = [], KeyIndex._write
+    monkeypatch.setattr(KeyIndex, "_write", lambda self, *rest: (written.append(1), write(self, *rest)))
+    names = [f"n{k}" for k in range(40)]
+    index.add(spark.createDataFrame([("job", n, "i", "2024-01", "l") for n in names], ENTRIES))
+    assert index._depths() == [2] and len(written) == 2
+    for _ in range(2):
+        index.rebuild(index.read())
+        assert index._depths() == [2]  # rebuilding alone needs no smaller buckets
+    index.discard(spark.createDataFrame([("job", n, "i") for n in names[:1]], "job string, name string, id string").withColumn("id", F.lit("j")))
+    assert sorted(r.name for r in index.read().collect()) == sorted(names)
+
+
+def test_merges_of_most_buckets_replace_the_folder_and_a_break_loses_nothing(spark, tmp_path, monkeypatch):
+    index = KeyIndex(spark, str(tmp_path / "keys"), bucket_files=1)
+    import postulant.sources.keys as module
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    rows = [spark.createDataFrame([("job", f"n{step}-{k}", f"i{step}-{k}", "2024-01", "l") for k in range(100)], ENTRIES) for step in range(3)]
+    index.add(rows[0])
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "remove", lost)
+        with pytest.raises(RuntimeError):
+            index.add(rows[1])
+    assert len(index._depths()) == 2 and index.read().count() == 200
+    index.add(rows[2])
+    assert len(index._depths()) == 1 and index.read().count() == 300
+    index.discard(rows[1].select("job", "name", "id"))
+    assert {r.name[:2] for r in index.read().collect()} == {"n0", "n2"}
+
+
 def test_known_keys_follow_deletes_and_updates(spark, store):
     store.insert(batch(spark, [("a", "x", 1, 1.0), ("a", "y", 2, 1.0), ("", "z", 3, 1.0)]), "one")
     store.insert(batch(spark, [("a", "x", 5, 2.0), ("b", "x", 5, 2.0), ("", "z", 3, 2.0)]), "two")
