@@ -145,7 +145,7 @@ def indexed_search(spark: SparkSession, folder: str) -> DataFrame:
     place = work_folder(spark, "search")
     docs = table(spark, folder, "documents")
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("skills"), F.concat("lang", "source").alias("part"))
-    texts.repartition(8, "part").write.partitionBy("part").parquet(f"{place}/texts")
+    texts.hint("rebalance", "part").write.partitionBy("part").parquet(f"{place}/texts")
     rows = spark.read.schema("id long, skills string, part string").parquet(f"{place}/texts")
     index = TrigramIndex(spark, f"{place}/index", columns=("skills",))
     index.add(rows)

@@ -14,8 +14,12 @@ index are only appended; files that are gone from the table do no harm.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,8 @@ SLOTS = 1 << 16
 SLOTS_PER_FOLDER = 1 << 12
 ENTRIES = "file string, slot int, column string, part int"
 FILES = "file string"
+# Bytes of text that a task works on at once.
+SLICE = 1 << 20
 
 # Characters that a case-blind search takes for a plain letter, beside the capitals (fixed values).
 FOLDED = {"İ": "i", "ı": "i", "ſ": "s", "K": "k"}
@@ -78,18 +84,69 @@ def slots_of(words: Sequence[str]) -> list[int]:
     return sorted({zlib.crc32(word[i : i + 3].encode()) % SLOTS for word in words for i in range(len(word) - 2)})
 
 
-def _joined(left: Column, right: Column) -> Column:
-    return F.concat(left, right)
-
-
-def _slots(text: Column) -> Column:
-    """Slots of the trigrams of a text; it is cut into characters once, so the work is linear."""
-    characters = F.filter(F.split(fold(text), ""), lambda c: c != "")
-    size = F.size(characters)
-    following = [F.slice(characters, F.lit(k), F.greatest(size - 2, F.lit(0))) for k in (1, 2, 3)]
-    grams = F.zip_with(F.zip_with(following[0], following[1], _joined), following[2], _joined)
-    plain = F.filter(grams, lambda gram: F.octet_length(gram) == 3)
-    return F.array_distinct(F.transform(plain, lambda gram: (F.crc32(gram) % SLOTS).cast("int")))
+_LOWER = np.arange(256, dtype=np.int32)
+_LOWER[65:91] += 32
+
+
+@lru_cache(maxsize=1)
+def _slot_of_gram() -> np.ndarray:
+    """The slot (crc32 modulo `SLOTS`) of every three ASCII characters, by their codes of 7 bits in a row."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    grams = np.arange(1 << 21, dtype=np.uint32)
+    crc = np.full(len(grams), 0xFFFFFFFF, np.uint32)
+    for shift in (14, 7, 0):
+        crc = table[(crc ^ grams >> shift & 127) & 255] ^ crc >> 8
+    return (~crc % SLOTS).astype(np.int32)
+
+
+def _mark(seen: np.ndarray, texts: pa.Array) -> None:
+    """Mark the trigrams of texts, by the codes of their characters."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    for special, plain in FOLDED.items():
+        texts = pc.replace_substring(texts, special, plain)
+    _, places, held = texts.buffers()
+    if held is None:
+        return
+    borders = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(held, np.uint8)[: borders[-1]]
+    for start in range(int(borders[0]), len(data) - 2, SLICE):
+        codes = _LOWER[data[start : start + SLICE + 2]]
+        plain = codes < 128
+        whole = plain[:-2] & plain[1:-1] & plain[2:]
+        for before in (1, 2):  # a trigram that begins there would cross a border
+            crossing = borders[1:-1] - before - start
+            whole[crossing[(crossing >= 0) & (crossing < len(whole))]] = False
+        seen[(codes[:-2] << 14 | codes[1:-1] << 7 | codes[2:])[whole]] = True
+
+
+def _entries(columns: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows of file and texts to the slots of each file's columns; a task holds one file's at a time."""
+
+    def told(file: str, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for column, marks in zip(columns, seen, strict=True):
+            slots = np.unique(_slot_of_gram()[np.flatnonzero(marks)])
+            named = [pa.array([name] * len(slots), pa.string()) for name in (file, column)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(slots)], ["file", "column", "slot"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, np.zeros((len(columns), 1 << 21), bool)
+        for batch in batches:
+            runs, first = pc.run_end_encode(batch.column(0)), 0
+            for file, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if file != current:
+                    if current is not None:
+                        yield from told(current, seen)
+                    current = file
+                    seen[:] = False
+                for k in range(len(columns)):
+                    _mark(seen[k], batch.column(k + 1).slice(first, end - first))
+                first = end
+        if current is not None:
+            yield from told(current, seen)
+
+    return collect
 
 
 class TrigramIndex:
@@ -113,9 +170,9 @@ class TrigramIndex:
         if not new:
             return []
         rows = df.where(F.col("_metadata.file_path").isin(new))
-        texts = [F.struct(F.lit(c).alias("column"), _slots(F.col(c)).alias("slots")) for c in self.columns]
-        per_row = rows.select(F.col("_metadata.file_path").alias("file"), F.inline(F.array(*texts)))
-        entries = per_row.select("file", "column", F.explode("slots").alias("slot")).distinct()
+        # Tasks pass on each slot of a file once, so the shuffle follows the number of files, not of texts.
+        texts = rows.select(F.col("_metadata.file_path").alias("file"), *[F.col(c).cast("string") for c in self.columns])
+        entries = texts.mapInArrow(_entries(self.columns), "file string, column string, slot int").distinct()
         placed = entries.withColumn("part", F.floor(F.col("slot") / SLOTS_PER_FOLDER).cast("int"))
         # Sorted by slot, so that a search skips row groups within its folders.
         sorted_ = placed.repartition("column", "part").sortWithinPartitions("column", "part", "slot")

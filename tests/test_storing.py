@@ -395,6 +395,39 @@ def test_required_words(pattern, words):
     assert required_words(pattern) == words
 
 
+def test_index_holds_the_trigrams_of_every_text_and_one_entry_per_file(spark, tmp_path, monkeypatch):
+    import postulant.sources.search as module
+
+    monkeypatch.setattr(module, "SLICE", 7)
+    texts = ["Spark ſKİ", "ab", "cd", "", None, "naïve café", "x" * 40, "a\u0000b", "日本語abc", "K\u212aı~ÿ\x7f?", "zzzzY", " the end"]
+
+    def expected(of):
+        grams = set()
+        for text in of:
+            plain = "".join(FOLDED.get(c, c.lower() if c.isascii() else c) for c in text or "")
+            grams |= {plain[i : i + 3] for i in range(len(plain) - 2)}
+        return module.slots_of([g for g in grams if g.isascii()])
+
+    import numpy as np
+    import pyarrow as pa
+
+    for first in (0, 3):
+        seen = np.zeros(1 << 21, bool)
+        module._mark(seen, pa.array(texts).slice(first))
+        assert sorted({*module._slot_of_gram()[np.flatnonzero(seen)].tolist()}) == expected(texts[first:])
+    place = str(tmp_path / "t")
+    rows = [(t, n, p) for p in range(2) for t, n in zip(texts[p::2], texts[::-1][p::2])]
+    spark.createDataFrame(rows, "skills string, name string, part int").repartition(2, "part").write.partitionBy("part").parquet(place)
+    df = spark.read.schema("skills string, name string, part int").parquet(place)
+    index = TrigramIndex(spark, str(tmp_path / "index"), columns=("skills", "name"))
+    index.add(df)
+    entries = [(r.file, r.column, r.slot) for r in index._read("entries", module.ENTRIES).collect()]
+    assert len({*entries}) == len(entries)
+    for p in range(2):
+        for column, of in (("skills", texts[p::2]), ("name", texts[::-1][p::2])):
+            assert sorted(s for f, c, s in entries if f"part={p}/" in f and c == column) == expected(of)
+
+
 def test_search_skips_files_and_finds_every_row(spark, tmp_path):
     rng = random.Random(2)
     words = ["spark", "SPARK", "ſpark", "java", "Kafka", "Kafka", "data lake", "python", "c++", "İstanbul", "naïve", "spar", "k"]
