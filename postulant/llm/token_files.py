@@ -22,8 +22,8 @@ with all numbers little-endian. Spark's own writer commits the files, so a lost
 leaves nothing behind. A document never spans blocks.
 
 Texts are cut into pieces before encoding, where the tokenizer separates them itself (see
-`pieces`), and each distinct piece is encoded once and remembered within bounds: a task
-compares pieces as bytes. The cuts hold for tokenizers that drop white space, ignore case and
+`pieces`), and each distinct piece is encoded once and remembered within bounds by a Python worker,
+over its tasks; it compares pieces as bytes. The cuts hold for tokenizers that drop white space, ignore case and
 match letters, single digits and other characters apart, and mark the ends of words, as the one used here. Strings of special tokens in a text are ordinary text.
 
 Defined results: a null or empty text has the end id only. Rows without doc_id follow all
@@ -59,7 +59,7 @@ HEAD = struct.Struct("<4sIQQ")
 # A block is closed when it has this many ids; a file has so many blocks.
 BLOCK_IDS = 1 << 20
 FILE_BLOCKS = 8
-# Ids that a task remembers for words it has met, before it starts afresh.
+# Ids that a Python worker remembers for words it has met, before it starts afresh.
 REMEMBERED = 1 << 21
 # Different pieces that a task counts before it passes the counts on.
 COUNTED = 1 << 19
@@ -180,7 +180,7 @@ class Known:
 
 
 class Words:
-    """The ids of pieces, remembered by a task."""
+    """The ids of pieces, remembered within bounds."""
 
     def __init__(self, path: str, end: int):
         self.path, self.end = path, end
@@ -196,12 +196,22 @@ class Words:
             self.forget()
         numbers, new = self.known.numbers(distinct)
         if len(new):
-            lengths, ids = ids_of(new, self.path, self.end)
+            try:
+                lengths, ids = ids_of(new, self.path, self.end)
+            except BaseException:
+                self.forget()  # the pieces have numbers, but no ids; another task may go on with these words
+                raise
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
             self.ids = np.concatenate([self.ids, ids])
         return numbers
 
 
+@lru_cache(maxsize=1)
+def remembered(path: str, end: int) -> Words:
+    """The words of this Python worker: its next tasks need not encode again what an earlier one has met."""
+    return Words(path, end)
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each of many stretches, one after the other."""
     before = np.cumsum(sizes) - sizes
@@ -316,7 +326,7 @@ def write_files(docs: DataFrame, path: str, folder: str, end: int) -> None:
     spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(path, end)
+        known = remembered(path, end)
         names, lengths, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:

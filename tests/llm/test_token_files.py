@@ -69,6 +69,24 @@ def test_a_task_forgets_and_learns_again(monkeypatch):
         assert found == library_ids(texts)
 
 
+def test_a_worker_remembers_over_its_tasks_and_a_failed_one_leaves_nothing_half_known(monkeypatch):
+    texts, asked, made = [f"word{i} zwölf{i}" for i in range(50)], [], token_files.ids_of
+    monkeypatch.setattr(token_files, "ids_of", lambda distinct, *rest: (asked.append(len(distinct)), made(distinct, *rest))[1])
+
+    def encode():
+        known = token_files.remembered(PATH, 1)
+        return [x.tolist() for sizes, ids in token_files.encoded(pa.array(texts), known) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    token_files.remembered.cache_clear()
+    with monkeypatch.context() as patch:
+        patch.setattr(token_files, "ids_of", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            encode()
+    assert encode() == encode() == library_ids(texts)
+    assert len(asked) == 1
+    token_files.remembered.cache_clear()
+
+
 def test_query_equals_the_library(spark, folder):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()]
     found = token_files.token_files(spark, folder).orderBy("doc_id").collect()
