@@ -87,18 +87,27 @@ class PartitionedTable:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def _label(self) -> Column:
+    def known(self) -> set[str]:
+        """The partitions the catalog has. No file is opened."""
+        return {self._from_path(row[0]) for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
+
+    def holding(self, column: str, values: Iterable[str]) -> list[str]:
+        """The partitions with one of these values in a partition column."""
+        at, wanted = self.partitions.index(column), {*values}
+        return sorted(label for label in self.known() if label.split("/")[at] in wanted)
+
+    def label(self) -> Column:
         return F.concat_ws("/", *self.partitions)
 
     def labels(self, rows: DataFrame) -> list[str]:
         """The partitions rows lie in. There are as many as folders, which the driver lists anyway."""
-        return [row[0] for row in rows.select(self._label()).distinct().collect()]
+        return [row[0] for row in rows.select(self.label()).distinct().collect()]
 
     def content(self, labels: list[str]) -> DataFrame:
         """Rows of some partitions; the filter uses partition columns only, so others are not read."""
         # A metastore can evaluate the plain conditions; the label then picks the exact pairs.
         values = [sorted(set(column)) for column in zip(*[label.split("/") for label in labels])]
-        rows = self.read().where(self._label().isin(labels))
+        rows = self.read().where(self.label().isin(labels))
         for column, known in zip(self.partitions, values):
             rows = rows.where(F.col(column).isin(known))
         return rows
@@ -125,10 +134,10 @@ class PartitionedTable:
     def staged(self, folder: str) -> DataFrame:
         return self.spark.read.schema(self._stored()).parquet(folder)
 
-    def switch(self, folder: str, labels: list[str], gaining: Iterable[str] = ()) -> list[str]:
-        """Point the given partitions, and those the folder has rows for, to its content; all partitions that changed."""
-        filled = set(self.labels(self.staged(folder)))
-        known = {self._from_path(row[0]) for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()}
+    def switch(self, folder: str, labels: list[str], gaining: Iterable[str] = (), filled: Iterable[str] | None = None) -> list[str]:
+        """Point the given partitions, and those the folder has rows for (`filled`), to its content; all partitions that changed."""
+        filled = set(self.labels(self.staged(folder)) if filled is None else filled)
+        known = self.known()
         foreign = filled & known - {*labels}
         if foreign:
             raise RuntimeError(f"rows for partitions whose content was not read: {sorted(foreign)[:3]}; nothing was changed")
@@ -207,16 +216,14 @@ class CandidateStore:
         closed = self._loads("closed").where(F.col("load_id").isin(loads)).select("load_id").distinct().collect()
         if closed:
             raise ValueError(f"closed loads: {sorted(row[0] for row in closed)}; what they still have to add needs a load of its own")
-        before = self.people.labels(self.read().where(F.col("segment").isin(loads)))
+        before = self.people.holding("segment", loads)
         load = F.lit(load_id) if load_id is not None else F.col("load_id")
         # The same mail of the same load keeps its id when the load is repeated.
         identity = F.concat_ws("/", load, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in IDENTITY])
         added = {"id": F.substring(F.sha2(identity, 256), 1, 32), "load_id": load, "segment": load}
         order = ("applied_at", "filename") if load_id is not None else ("load_id", "applied_at", "filename")
-        old_files = self.files.labels(self.read_files().where(F.col("load_id").isin(loads)))
-        wanted = f"{self.root}/staged-{uuid.uuid4().hex}"
-        batch.where(has_key(batch)).select(*NATURAL_KEY).distinct().write.parquet(wanted)
-        known = self._known(self.spark.read.schema("job string, name string").parquet(wanted), loads)
+        old_files = self.files.holding("load_id", loads)
+        known = self._known(batch, loads)
         if not store_cv:
             new = finish(absent_rows(batch.drop("cv"), known, order=order)).drop("cv").withColumns(added)
             self._put(self.people.stage(_placed(new)), before)
@@ -233,14 +240,18 @@ class CandidateStore:
             files = named.where(F.col("cv").isNotNull()).join(inserted, "id", "left_semi")
             self.files.replace(_prefixed(files), old_files)
             remove(self.spark, staged)
-        remove(self.spark, wanted)
         ended = few_rows(self.spark, [(name, datetime.now()) for name in loads], LOADS)
         ended.coalesce(1).write.mode("append").parquet(self._place("loads"))
 
-    def _known(self, wanted: DataFrame, loads: list[str]) -> DataFrame:
-        """Keys among the wanted ones that a row of another load than these holds."""
+    def _known(self, batch: DataFrame, loads: list[str]) -> DataFrame:
+        """Keys among the batch's that a row of another load than these holds."""
         if not self.keys.exists():
             self.keys.rebuild(self.read())
+        if self.keys.empty():  # the first load need not look for its keys
+            return self.read().where(F.lit(False)).select(*NATURAL_KEY)
+        keys = f"{self.root}/staged-{uuid.uuid4().hex}"
+        batch.where(has_key(batch)).select(*NATURAL_KEY).distinct().write.parquet(keys)
+        wanted = self.spark.read.schema("job string, name string").parquet(keys)
         others = ~F.col("load_id").isin(loads)
         hits = self.keys.matching(wanted).where(others).select("id", "applied_month").distinct()
         few = hits.limit(LISTED_IDS + 1).collect()
@@ -253,20 +264,34 @@ class CandidateStore:
             hits = self.spark.read.schema("id string, applied_month string").parquet(place)
             months = {row[0] for row in hits.select("applied_month").distinct().collect()}
             held = self.read().where(F.col("applied_month").isin(sorted(months))).join(broadcast_if_small(hits), ["id", "applied_month"], "left_semi")
+        remove(self.spark, keys)
         return held.where(others).select(*NATURAL_KEY).distinct()
 
     def _put(self, folder: str, labels: list[str], gaining: Iterable[str] = ()) -> None:
         """Index the keys of a staged folder, switch to it and renew the counts of what changed."""
-        self.keys.add(self.people.staged(folder))
-        self._spell(self.people.staged(folder))
-        self._count(self.people.switch(folder, labels, gaining), self.people.staged(folder))
+        rows = self.people.staged(folder)
+        place = f"{self.root}/staged-{uuid.uuid4().hex}"
+        self._tally(rows).coalesce(1).write.parquet(place)
+        counts = self.spark.read.schema(COUNTS).parquet(place)  # tells spellings and partitions, too, without the rows
+        sizes = {row["label"]: row["n"] for row in counts.groupBy(self.people.label().alias("label")).agg(F.sum("n").alias("n")).collect()}
+        self.keys.add(rows, sum(sizes.values()))
+        self._spell(counts)
+        self._renew(self.people.switch(folder, labels, gaining, sizes), counts)
+        remove(self.spark, place)
 
-    def _count(self, labels: list[str], rows: DataFrame) -> None:
-        """Replace the counts of some partitions by those of their rows: all in one append, of a newer version."""
+    def _tally(self, rows: DataFrame) -> DataFrame:
         counts = rows.groupBy("job", F.to_date("applied_at").alias("day"), *CANDIDATE_PARTITIONS).agg(F.count("*").alias("n"))
+        return counts.select("job", "day", "n", *CANDIDATE_PARTITIONS)
+
+    def _count(self, labels: list[str], rows: DataFrame) -> None:
+        """Replace the counts of some partitions by those of their rows."""
+        self._renew(labels, self._tally(rows))
+
+    def _renew(self, labels: list[str], counts: DataFrame) -> None:
+        """Replace the counts of some partitions: all in one append, of a newer version."""
         # A partition without rows still replaces its counts.
         marks = [(None, None, 0, *label.split("/")) for label in labels]
-        both = counts.select("job", "day", "n", *CANDIDATE_PARTITIONS).union(few_rows(self.spark, marks, COUNTS))
+        both = counts.union(few_rows(self.spark, marks, COUNTS))
         self._append_counts(both)
         files = [name for name in listed(self.spark, self._place("counts")) if name.endswith(".parquet")]
         if len(files) > COUNT_FILES:
@@ -333,11 +358,17 @@ class CandidateStore:
         doomed = self.read().join(broadcast_if_small(ids.select("id")), "id", "left_semi")
         hit = self.people.labels(doomed)
         if hit:
-            files = self.files.labels(_prefixed(doomed))
-            self.files.replace(delete_by_id(self.files.content(files), ids), files)
+            self._delete_files(doomed, ids)
             folder = self.people.stage(delete_by_id(self.people.content(hit), ids))
             self._count(self.people.switch(folder, hit), self.people.staged(folder))
 
+    def _delete_files(self, doomed: DataFrame, ids: DataFrame) -> None:
+        """Remove the files of removed rows; nothing is read or written where none are stored."""
+        known = self.files.known()
+        files = [label for label in self.files.labels(_prefixed(doomed)) if label in known] if known else []
+        if files:
+            self.files.replace(delete_by_id(self.files.content(files), ids), files)
+
     def update(self, edits: DataFrame, order: str | None = None) -> None:
         """Overwrite the supplied columns of the candidates that really change."""
         edits = edits.drop(*CANDIDATE_PARTITIONS, "load_id")
@@ -388,8 +419,7 @@ class CandidateStore:
         old = self.spark.read.schema(old.schema).parquet(place)
         hit = self.people.labels(old)
         if hit:
-            files = self.files.labels(_prefixed(old))
-            self.files.replace(delete_by_id(self.files.content(files), old), files)
+            self._delete_files(old, old)
             whole = [label for label in hit if label.split("/")[0] < month]
             if whole:
                 self.people.forget(whole)

@@ -4,7 +4,7 @@ Whether an application is already stored is asked for every imported mail. The i
 answers it from the buckets of the asked keys alone: `depth=<d>/bucket=<prefix>` holds the
 keys whose hash starts with these d hex digits. Every load appends its keys. A bucket of
 many small files is merged; once buckets grow beyond `bucket_bytes` (with more than 256 buckets:
-beyond 8 MB at least), all keys move at once to buckets of as many digits more as it takes. So what
+beyond 16 MB at least), all keys move at once to buckets of as many digits more as it takes. So what
 a batch reads depends on its own keys, not on the table. When all entries are written anew, they go to a new folder
 `depth=<d>.<version>`, and the old one is removed after that.
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postulant.operators.upsert import broadcast_if_small
+from postulant.operators.upsert import broadcast_if_small, fits_broadcast
 from postulant.schema import NATURAL_KEY
 from postulant.sources.files import exists, few_rows, listed, remove
 
@@ -32,8 +32,12 @@ ENTRIES = "job string, name string, id string, applied_month string, load_id str
 HEX_DIGITS = 16
 # Every bucket is a folder to list and a file to write, which costs more than thousands of entries. So small buckets
 # split into up to 256, and further only from this size on.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 CHEAP_DIGITS = 2
+# So many rows a bucket leave no bucket out, as hashes spread evenly.
+ROWS_THAT_TOUCH = 64
+# About the bytes of an entry, by which an empty index gets buckets that hold its first rows.
+ENTRY_BYTES = 40
 
 
 def _prefix(depth: int) -> Column:
@@ -80,6 +84,10 @@ class KeyIndex:
     def exists(self) -> bool:
         return bool(self._held())
 
+    def empty(self) -> bool:
+        held = self._held()
+        return not held or not self._buckets(held[-1])
+
     def read(self) -> DataFrame:
         """All entries."""
         held = self._held()
@@ -110,12 +118,23 @@ class KeyIndex:
         made = self._anew(_named(rows), held[-1].depth if held else 1)
         self._settle(made, self._buckets(made))
 
-    def add(self, rows: DataFrame) -> None:
-        """Append the entries of rows with job, name, id, applied_month and load_id; rows without a key have none."""
+    def add(self, rows: DataFrame, n_rows: int = 0) -> None:
+        """Append the entries of rows with job, name, id, applied_month and load_id; rows without a key have none.
+
+        The buckets they touch are looked for, unless the number of rows is given and so large that they touch all.
+        The first rows of an empty index, if too many for its buckets, go to smaller ones at once.
+        """
         held = (self._held() or [Held(1)])[-1]
-        touched = self._touched(rows, held.depth)
-        self._write(_named(rows), held, "append", len(touched))
-        self._settle(held, touched)
+        depth = held.depth
+        while depth < CHEAP_DIGITS and ENTRY_BYTES * n_rows > 16**depth * self._most(depth):
+            depth += 1
+        if depth > held.depth and self.empty():
+            made = self._anew(_named(rows), depth)
+            return self._settle(made, self._buckets(made))
+        every = n_rows >= ROWS_THAT_TOUCH * 16**held.depth
+        touched = [] if every else self._touched(rows, held.depth)
+        self._write(_named(rows), held, "append", 16**held.depth if every else len(touched))
+        self._settle(held, self._buckets(held) if every else touched)
 
     def _touched(self, rows: DataFrame, depth: int) -> list[str]:
         """The buckets of the rows' keys; at most as many as there are buckets."""
@@ -188,5 +207,7 @@ class KeyIndex:
         return self._in(held, found) if found else few_rows(self.spark, [], ENTRIES)
 
     def matching(self, keys: DataFrame) -> DataFrame:
-        """Entries with one of the given keys. Few keys are sent to the buckets, which then need no shuffle."""
-        return self.candidates(keys).join(broadcast_if_small(keys), list(NATURAL_KEY), "left_semi")
+        """Entries with one of the given keys. Few keys are sent to the buckets, which then need no shuffle; many touch all buckets."""
+        if fits_broadcast(keys):
+            return self.candidates(keys).join(F.broadcast(keys), list(NATURAL_KEY), "left_semi")
+        return self.read().join(keys, list(NATURAL_KEY), "left_semi")

@@ -108,6 +108,38 @@ def test_merges_of_most_buckets_replace_the_folder_and_a_break_loses_nothing(spa
     assert {r.name[:2] for r in index.read().collect()} == {"n0", "n2"}
 
 
+def test_many_first_entries_are_written_once_and_their_buckets_not_looked_for(spark, tmp_path, monkeypatch):
+    index = KeyIndex(spark, str(tmp_path / "keys"), bucket_bytes=2000)
+    rows = spark.range(1500).select(F.lit("job").alias("job"), *[F.concat(F.lit(c), "id").alias(c) for c in ("name", "id", "applied_month", "load_id")])
+    index.rebuild(rows.limit(0))
+    written, write = [], KeyIndex._write
+    monkeypatch.setattr(KeyIndex, "_write", lambda self, *rest: (written.append(1), write(self, *rest)))
+    monkeypatch.setattr(KeyIndex, "_touched", lambda *_: pytest.fail("rows were read for their buckets"))
+    index.add(rows, 1500)
+    assert index._depths() == [2] and len(written) == 1
+    index.add(rows.withColumn("name", F.concat("name", F.lit("x"))), 64 << 8)
+    assert index.read().distinct().count() == 3000
+    monkeypatch.setattr("postulant.sources.keys.fits_broadcast", lambda _: False)
+    monkeypatch.setattr(KeyIndex, "candidates", lambda *_: pytest.fail("many keys touch every bucket"))
+    assert sorted(r.name for r in index.matching(rows.select("job", "name").limit(1500)).collect()) == sorted(f"name{k}" for k in range(1500))
+
+
+def test_changes_read_and_write_only_what_they_need(spark, store, monkeypatch):
+    """Without stored files no file table is written, and a load's partitions and spellings are told by its counts."""
+    staged, stage, labelled, labels = [], PartitionedTable.stage, [], PartitionedTable.labels
+    monkeypatch.setattr(PartitionedTable, "stage", lambda self, rows: (staged.append(self.name), stage(self, rows))[1])
+    monkeypatch.setattr(PartitionedTable, "labels", lambda self, rows: (labelled.append(self.name), labels(self, rows))[1])
+    for load in ("one", "two", "two"):
+        rows = [("a", f"{load}-{k}", 10 * k, 1.0) for k in range(3)] + [("", "", 1, 1.0), ("b", "undated", None, 1.0)]
+        store.insert(batch(spark, rows), load)
+    assert not labelled and staged == [store.people.name] * 3
+    assert sorted({r.job for r in store.spellings().collect()}) == ["", "a", "b"]
+    store.retire(datetime(2024, 1, 15))
+    assert {*staged} == {store.people.name}
+    assert held(store) == [("a", "one-2", "one"), ("a", "two-2", "two"), ("b", "undated", "one")]
+    assert store.counts().agg(F.sum("n")).first()[0] == 3
+
+
 def test_known_keys_follow_deletes_and_updates(spark, store):
     store.insert(batch(spark, [("a", "x", 1, 1.0), ("a", "y", 2, 1.0), ("", "z", 3, 1.0)]), "one")
     store.insert(batch(spark, [("a", "x", 5, 2.0), ("b", "x", 5, 2.0), ("", "z", 3, 2.0)]), "two")
